@@ -19,7 +19,7 @@ from .tokens import tokenizer
 #: Tokens in a sequence, and the id that ends each document.
 LENGTH, END_ID = 1024, 2
 #: Patterns have up to this many documents; gradient steps of the fit.
-PATTERN_PIECES, FIT_STEPS = 3, 1500
+PATTERN_PIECES, FIT_STEPS = 3, 600
 
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, rank long"
 
@@ -90,66 +90,70 @@ def fit_patterns(histogram: np.ndarray, patterns: np.ndarray, steps: int = FIT_S
     return out
 
 
-def plan_packing(histogram: np.ndarray, steps: int = FIT_STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """How to pack pieces of the given histogram (index: length, from 1 to the sequence length): (lengths, repeats).
-
-    Fitted pattern counts are rounded down, the rest of each pattern is tried in the order of what was cut off, never using
-    more pieces than there are; what remains is packed best-fit, longest first, by counts and not by pieces. Works on
-    the histogram only, so it costs the same for any number of pieces. All pieces are packed.
-    """
-    length = len(histogram) - 1
-    left = histogram.astype(np.int64).copy()
-    plan: dict[tuple[int, ...], int] = {}
+def _best_fit(left: np.ndarray, plan: dict[tuple[int, ...], int]) -> None:
+    """Add to plan what packs the counts in left best-fit, longest first, with open sequences as counts by what they hold."""
+    length = len(left) - 1
+    room: dict[int, dict[tuple[int, ...], int]] = {}
 
-    def use(lengths: tuple[int, ...], times: int) -> None:
-        plan[lengths] = plan.get(lengths, 0) + times
+    def put(free: int, held: tuple[int, ...], times: int) -> None:
+        same = room.setdefault(free, {})
+        same[held] = same.get(held, 0) + times
 
-    if left[length]:
-        use((length,), int(left[length]))
-        left[length] = 0
-    patterns = length_patterns(length)[1:]
-    x = fit_patterns(left.astype(float), patterns, steps) if left.sum() else np.zeros(len(patterns))
-    for rounded in (np.floor(x), np.ceil(x) - np.floor(x)):
-        for i in np.argsort(-x if rounded is not None else x, kind="stable"):
-            if rounded[i] <= 0:
-                continue
-            parts, times = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
-            n = int(min(rounded[i], (left[parts] // times).min()))
-            if n > 0:
-                use(tuple(int(v) for v in patterns[i] if v), n)
-                left[parts] -= n * times
-    # Best fit, longest first: open sequences are kept as counts by what they hold.
-    room: dict[int, dict[tuple[int, ...], int]] = {}
-    for n in range(length, 0, -1):
+    for n in np.flatnonzero(left)[::-1].tolist():
         many = int(left[n])
         while many:
             free = min((r for r in room if r >= n), default=None)
             if free is None:
-                per = length // n
-                full, rest = divmod(many, per)
+                full, rest = divmod(many, length // n)
                 if full:
-                    room.setdefault(length - per * n, {})
-                    room[length - per * n][(n,) * per] = room[length - per * n].get((n,) * per, 0) + full
+                    put(length - length // n * n, (n,) * (length // n), full)
                 if rest:
-                    room.setdefault(length - rest * n, {})
-                    room[length - rest * n][(n,) * rest] = room[length - rest * n].get((n,) * rest, 0) + 1
+                    put(length - rest * n, (n,) * rest, 1)
                 break
             held, count = next(iter(room[free].items()))
             take = min(count, many)
-            if take == count:
+            if take < count:
+                room[free][held] = count - take
+            elif len(room[free]) > 1:
                 del room[free][held]
-                if not room[free]:
-                    del room[free]
             else:
-                room[free][held] = count - take
-            now = held + (n,)
-            room.setdefault(free - n, {})
-            room[free - n][now] = room[free - n].get(now, 0) + take
+                del room[free]
+            put(free - n, (*held, n), take)
             many -= take
-    for held in room.values():
-        for lengths, times in held.items():
-            use(lengths, times)
-    return list(plan.items())
+    for same in room.values():
+        for lengths, times in same.items():
+            plan[lengths] = plan.get(lengths, 0) + times
+
+
+def plan_packing(histogram: np.ndarray, steps: int = FIT_STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """How to pack pieces of the given histogram (index: length, from 1 to the sequence length): (lengths, repeats).
+
+    Pieces of the full length stand alone. For the others, pattern counts are fitted and rounded: up where their fraction
+    is above a bound, else down, and never to more pieces than there are; what remains is packed best-fit. Of
+    several bounds, and of no patterns at all (best where counts are so few that fractions mean nothing), the plan with the
+    fewest sequences is used. Works on the histogram only, so it costs the same for any number of pieces. All pieces are
+    packed.
+    """
+    length = len(histogram) - 1
+    rest = histogram.astype(np.int64).copy()
+    full = {(length,): int(rest[length])} if rest[length] else {}
+    rest[length] = 0
+    patterns = length_patterns(length)[1:]
+    x = fit_patterns(rest.astype(float), patterns, steps) if rest.any() else np.zeros(len(patterns))
+    plans = []
+    for bound in (1.0, 0.75, 0.5, 0.25, None):
+        plan, left = dict(full), rest.copy()
+        counts = np.zeros(len(x), np.int64) if bound is None else np.floor(x + 1 - bound).astype(np.int64)
+        for i in sorted(np.flatnonzero(counts), key=lambda i: -x[i]):
+            parts, times = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
+            n = int(min(counts[i], (left[parts] // times).min()))
+            if n > 0:
+                lengths = tuple(int(v) for v in patterns[i] if v)
+                plan[lengths] = plan.get(lengths, 0) + n
+                left[parts] -= n * times
+        _best_fit(left, plan)
+        plans.append(plan)
+    return list(min(plans, key=lambda p: sum(p.values())).items())
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:

@@ -54,10 +54,14 @@ _byte_powers, _word_powers = _Powers(_STEP), _Powers(_WORD_STEP)
 
 
 class Words(NamedTuple):
-    """Word hashes of several texts, one after the other; text i has hashes[first[i]:first[i + 1]]."""
+    """Word hashes of several texts, one after the other; text i has hashes[first[i]:first[i + 1]]. Word j is
+    buffer[starts[j]:ends[j]]."""
 
     hashes: np.ndarray
     first: np.ndarray
+    buffer: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
 
 def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -79,7 +83,7 @@ def word_hashes(texts: list[bytes]) -> Words:
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(w) for w in split], out=first[1:])
     if not first[-1]:
-        return Words(np.zeros(0, np.uint64), first)
+        return Words(np.zeros(0, np.uint64), first, np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
     buffer = np.frombuffer(b" ".join([b" ".join(w) for w in split if w]), np.uint8)
     gaps = np.flatnonzero(buffer == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(buffer)]))
@@ -87,7 +91,7 @@ def word_hashes(texts: list[bytes]) -> Words:
     sums = np.zeros(len(buffer) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTES[buffer] * up[:-1], out=sums[1:])
-        return Words(mix64((sums[ends] - sums[starts]) * down[starts]), first)
+        return Words(mix64((sums[ends] - sums[starts]) * down[starts]), first, buffer, starts, ends)
 
 
 def ngram_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
