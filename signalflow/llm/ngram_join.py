@@ -34,8 +34,10 @@ LOCAL_REPEATS = 3
 #: N-grams counted at least this often go last in the global order; of more than FREQUENT_ROWS, the most frequent ones do.
 #: Any order gives the same links: this list only keeps index lists short.
 FREQUENT_COUNT, FREQUENT_ROWS = 48, 200_000
-#: Leaders tried per index entry before classes are compared.
-LEADER_FAMILIES = 3
+#: Rounds of comparing list entries with leaders before classes are compared.
+LEADER_ROUNDS = 2
+#: Entries of one class in a list from which on the class is large, and the number of its representatives there.
+LARGE_CLASS = 16
 
 
 def _lowered(column: pa.Array) -> list[bytes | None]:
@@ -104,11 +106,20 @@ def _full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], names=["set", "grams"])
 
 
-def _may_link(percent: int) -> Column:
-    """Whether two entries of one list leave enough n-grams: from the smaller of what follows either position, and the
-    sizes. The first n-gram that two linked sets share in the global order always passes."""
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent))
-    return F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need
+def _pair_bounds(percent: int) -> dict[str, Column]:
+    """Bounds for two entries (n, at) and (n2, at2) of one list, or for the pair of sets they come from.
+
+    need: n-grams that must be shared. sizes: the smaller set has enough for that. place: so do the smaller rests from here
+    on; the first n-gram that two linked sets share in the global order always passes. lists: index lists that linked sets
+    share at least, since whatever they share beyond the index lies in the rest of the one whose prefix ends first.
+    """
+    need = F.expr(f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}")
+    rest = F.expr(f"({percent} * greatest(n, n2) + 99) div 100 - 1")
+    return {
+        "sizes": F.least("n", "n2") >= need,
+        "place": F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need,
+        "lists": need - rest,
+    }
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,34 +174,62 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
         entries.select("*", F.min("row").over(lists).alias("lo"), F.max("row").over(lists).alias("hi")).where("lo <> hi").select("token", F.col("row").alias("set"), "n", "at"),
         "set-index",
     )
-    leader = Window.partitionBy("token")
-    proposals = []
-    family = F.pmod(F.col("token"), F.lit(LEADER_FAMILIES))
-    led = index.select("*", F.min(F.struct(F.xxhash64("set", family).alias("h"), "set", "n", "at")).over(leader).alias("l"))
-    proposals = (
-        led.select(F.col("set").alias("dst"), "n", "at", F.col("l.set").alias("src"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"))
-        .where(F.col("src") != F.col("dst")).where(_may_link(percent))
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    )
-    checked = saved(proposals, "leader-pairs")
-    sets = _sets_of(keyed, checked, words)
-    links = saved(_verified(checked, sets, percent), "links")
-    found = saved(components(links), "leader-classes")
-    labelled = index.join(found.select(F.col("id").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    mixed = saved(
-        labelled.select("*", F.min("label").over(lists).alias("lo"), F.max("label").over(lists).alias("hi")).where("lo <> hi").select("token", "set", "n", "at", "label"),
-        "mixed-lists",
-    )
+    bounds = _pair_bounds(percent)
+
+    prefixes = saved(index.groupBy("set", "n").agg(F.collect_list("token").alias("grams")), "prefixes")
+    # The sets in the middle of a group have few n-grams of their own, so more of theirs stand in lists: they lead.
+    central = (F.count("*").over(Window.partitionBy("set")) * 1000 / F.col("n")).cast("int")
+    index = saved(index.select("*", central.alias("central")), "set-index")
+    ends = [F.least("set", "set2").alias("src"), F.greatest("set", "set2").alias("dst")]
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that share enough index lists."""
+        left = prefixes.select(F.col("set").alias("src"), "n", F.col("grams").alias("a"))
+        right = prefixes.select(F.col("set").alias("dst"), F.col("n").alias("n2"), F.col("grams").alias("b"))
+        both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "n", "n2", F.size(F.array_intersect("a", "b")).alias("lists"))
+        return both.where(F.col("lists") >= bounds["lists"]).select("src", "dst")
+
+    def leader_pairs(mixed: DataFrame) -> DataFrame:
+        """Each list's entries with the list's leader; the same sets lead many lists, so near copies meet few leaders."""
+        rank = F.struct((-F.col("central")).alias("c"), F.xxhash64("set").alias("h"), "set", "n", "at")
+        led = mixed.select("*", F.min(rank).over(lists).alias("l")).where("set <> l.set")
+        led = led.select("set", "n", "at", F.col("l.set").alias("set2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2")).where(bounds["sizes"])
+        counted = led.select(*ends, F.greatest("n", "n2").alias("n"), F.least("n", "n2").alias("n2"), bounds["place"].alias("place"))
+        counted = counted.groupBy("src", "dst", "n", "n2").agg(F.count("*").alias("lists"), F.max("place").alias("place"))
+        # A leader need not lead all lists that it shares with a set, so a part of the bound is asked for.
+        return counted.where("place").where(4 * F.col("lists") >= bounds["lists"]).select("src", "dst")
+
+    def class_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+        """For each set outside a large class, or class of such sets, the one of the class's representatives that shares most
+        lists with it: most sets that belong to the class join it here, and need not meet its other members."""
+        same = Window.partitionBy("token", "label")
+        picked = F.row_number().over(same.orderBy(F.desc("central"), F.xxhash64("set", F.lit(turn))))
+        chosen = mixed.select("*", F.count("*").over(same).alias("size"), picked.alias("k")).where(f"size >= {LARGE_CLASS} and k <= {LARGE_CLASS}")
+        chosen = chosen.select(F.col("token").alias("token2"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
+        met = mixed.join(chosen, (F.col("token") == F.col("token2")) & (F.col("label") != F.col("label2")) & bounds["sizes"] & bounds["place"])
+        met = met.groupBy(*ends, F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")).agg(F.count("*").alias("lists"))
+        return met.groupBy("a", "b").agg(F.max_by(F.struct("src", "dst"), F.struct("lists", "src", "dst")).alias("p")).select("p.src", "p.dst")
+
+    links = checked = None
+    mixed = index.withColumn("label", F.col("set"))
+    for turn in range(LEADER_ROUNDS):
+        tried = class_pairs(mixed, turn).join(checked, ["src", "dst"], "left_anti") if turn else leader_pairs(mixed)
+        tried = saved(tried, "leader-pairs")
+        sets = _sets_of(keyed, tried, words)
+        new = saved(_verified(tried, sets, percent), "links")
+        discard(sets)
+        links, checked = (new, tried) if links is None else (links.unionAll(new), checked.unionAll(tried))
+        if turn and new.isEmpty():
+            break
+        labels = saved(components(links), "leader-classes")
+        labelled = mixed.drop("label").join(labels.select(F.col("id").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        labelled = labelled.select("*", F.min("label").over(lists).alias("lo"), F.max("label").over(lists).alias("hi"))
+        mixed = saved(labelled.where("lo <> hi").select("token", "set", "n", "at", "central", "label"), "mixed-lists")
     other = mixed.select("token", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
-    open_pairs = (
-        mixed.join(other, "token").where("label < label2").where(_may_link(percent))
-        .select(F.least("set", "set2").alias("src"), F.greatest("set", "set2").alias("dst")).distinct()
-        .join(checked, ["src", "dst"], "left_anti")
-    )
+    met = mixed.join(other, (mixed["token"] == other["token"]) & (F.col("label") < F.col("label2")) & bounds["sizes"] & bounds["place"])
+    open_pairs = screened(met.select(*ends).distinct().join(checked, ["src", "dst"], "left_anti"))
     open_pairs = saved(open_pairs, "open-pairs")
     more = saved(_verified(open_pairs, _sets_of(keyed, open_pairs, words), percent), "links")
-    for used in (index, mixed, checked, open_pairs):
-        discard(used)
     final = components(links.unionAll(more))
     # row -> set of equal texts, and the smallest doc_id of each component.
     first_row = F.xxhash64("first.doc_id", "first.row_hash")

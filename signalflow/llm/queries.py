@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing
+from . import exact_dedup, mixing, ngram_join, packing, quality, suffix_dedup, warc
+from .common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,24 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_warc(spark, path))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup)}
+    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules)}
 
 
 _SIZES = r"""
@@ -103,6 +120,15 @@ copies AS (
   FROM sizes s JOIN whole w ON s.source IS NOT DISTINCT FROM w.source JOIN state2 t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM copies"""
 
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT body, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY body)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN g.top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.top <> p.page_id THEN g.top END AS refers_to
+FROM p LEFT JOIN g ON p.body = g.body AND p.payload_bytes >= 1000"""
+
 OP4_SQL = """
 WITH groups AS (
   SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
@@ -111,4 +137,4 @@ FROM documents d JOIN groups g ON coalesce(d.text, '') = g.t"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL}

@@ -220,3 +220,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     joined = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
     whole = joined.select("file", F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).cast("binary").alias("value"))
     return plain.unionByName(whole).mapInArrow(_parsed, "file string, headers map<string,string>, http_headers map<string,string>, payload binary")
+
+
+def page_records(records: DataFrame) -> DataFrame:
+    """Pages from records of read_warc(): page_id, payload_bytes, payload_digest (bare hex SHA-1), record_type, refers_to.
+
+    Of a response, size and digest are those of the payload that was read; of a revisit, those its headers give for the
+    payload that it refers to. Records without X-Page-Id get a null page_id.
+    """
+    header, response = F.col("headers"), F.col("headers")["warc-type"] == "response"
+    return records.select(
+        header["x-page-id"].cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("http_headers")["content-length"].cast("long")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.substring_index(header["warc-payload-digest"], ":", -1)).alias("payload_digest"),
+        header["warc-type"].alias("record_type"),
+        header["x-refers-to-page-id"].cast("long").alias("refers_to"),
+    )
