@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, suffix_dedup, warc
-from .common import new_path
+from . import exact_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, url_filters, warc
+from .common import new_path, saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,57 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents after four batches: a load with first guesses, a recount, a second tokenizer version, and the
+    removal of documents without words. The recount is delivered twice and counts once."""
+    counts = saved(token_counts.word_and_byte_counts(_table(spark, sf_dir, "documents")), "counts")
+    by = lambda version, column: counts.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(column).alias("tokens"), "words")
+    recount = token_counts.revised(by("words-1", "parts"), by("words-1", "words"))
+    rollup = token_counts.TokenRollup(spark)
+    rollup.apply("load", token_counts.inserted(by("words-1", "parts")))
+    rollup.apply("recount", recount)
+    rollup.apply("bytes", token_counts.inserted(by("bytes-1", "bytes")))
+    rollup.apply("recount", recount)
+    rollup.compact()
+    rollup.apply("empty", token_counts.deleted(by("words-1", "words").where("words = 0").unionByName(by("bytes-1", "bytes").where("words = 0"))))
+    return rollup.totals()
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _number(value: Column) -> Column:
+    """A fixed number for a string: the first seven hex digits of its MD5."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 7), 16, 10).cast("int")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captures, against lists derived from them: hosts that are added, mostly removed and sometimes added again,
+    some domains, and a seventh of all pages by their URL. Days follow from fixed numbers of the patterns."""
+    pages = _table(spark, sf_dir, "pages")
+    first = F.lit("2023-01-01").cast("date")
+    captures = pages.select("page_id", "url", F.date_add(first, F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")).alias("fetch_date"))
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("pattern")).where("pattern is not null").distinct()
+    n = _number(F.col("pattern"))
+    by_host = hosts.select("pattern", n.alias("n")).withColumn("list", F.concat(F.lit("hosts-"), (F.col("n") % 3).cast("string")))
+    turns = [("add", F.col("n") % 300, F.lit(True)), ("remove", F.col("n") % 300 + 20 + F.floor(F.col("n") / 1000) % 100, F.col("n") % 4 != 0), ("add", F.col("n") % 300 + 150, F.col("n") % 5 == 0)]
+    day = lambda d: F.date_add(first, d.cast("int")).alias("entry_date")
+    entries = None
+    for action, when, holds in turns:
+        part = by_host.where(holds).select("list", F.lit("host").alias("kind"), "pattern", F.lit(action).alias("action"), day(when))
+        entries = part if entries is None else entries.unionByName(part)
+    domains = hosts.select(F.concat_ws(".", F.slice(F.split("pattern", r"\."), -3, 3)).alias("pattern")).where(F.size(F.split("pattern", r"\.")) == 3).distinct()
+    listed = domains.where(n % 6 == 0).select(F.lit("domains").alias("list"), F.lit("domain").alias("kind"), "pattern", F.lit("add").alias("action"), day(n % 365))
+    urls = pages.where("page_id % 7 = 0 and url is not null").select(
+        F.lit("pages").alias("list"), F.lit("url").alias("kind"), url_filters.page_of(F.col("url")).alias("pattern"), F.lit("add").alias("action"), day(F.col("page_id") % 365)
+    )
+    intervals = url_filters.listed_intervals(entries.unionByName(listed).unionByName(urls))
+    return url_filters.judge_captures(captures, intervals)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op9_toxicity, op10_url_filters)}
 
 
 _SIZES = r"""
@@ -129,6 +178,43 @@ SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_di
        CASE WHEN g.top <> p.page_id THEN g.top END AS refers_to
 FROM p LEFT JOIN g ON p.body = g.body AND p.payload_bytes >= 1000"""
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words, octet_length(encode(coalesce(text, ''))) AS bytes
+  FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(words) AS BIGINT) AS tokens FROM d WHERE words > 0 GROUP BY 1, 2
+UNION ALL
+SELECT source, lang, 'bytes-1', count(*), CAST(sum(bytes) AS BIGINT) FROM d WHERE words > 0 GROUP BY 1, 2"""
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, date_add(DATE '2023-01-01', to_days(CAST((page_id * 37) % 365 AS INTEGER)))::DATE AS fetch_date,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
+         regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS page
+  FROM pages),
+h AS (SELECT DISTINCT host AS pattern, CAST('0x' || substr(md5(host), 1, 7) AS INTEGER) AS n FROM c WHERE host IS NOT NULL),
+dom AS (SELECT DISTINCT array_to_string(string_split(pattern, '.')[-3:], '.') AS pattern FROM h),
+domn AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 7) AS INTEGER) AS n FROM dom WHERE len(string_split(pattern, '.')) = 3),
+e AS (
+  SELECT 'hosts-' || (n % 3) AS list, 'host' AS kind, pattern, 'add' AS action, n % 300 AS day FROM h
+  UNION ALL SELECT 'hosts-' || (n % 3), 'host', pattern, 'remove', n % 300 + 20 + (n // 1000) % 100 FROM h WHERE n % 4 <> 0
+  UNION ALL SELECT 'hosts-' || (n % 3), 'host', pattern, 'add', n % 300 + 150 FROM h WHERE n % 5 = 0
+  UNION ALL SELECT 'domains', 'domain', pattern, 'add', n % 365 FROM domn WHERE n % 6 = 0
+  UNION ALL SELECT 'pages', 'url', lower(page), 'add', page_id % 365 FROM c WHERE page_id % 7 = 0 AND url IS NOT NULL),
+daily AS (SELECT list, kind, pattern, day, max(action = 'remove') AS removed FROM e GROUP BY 1, 2, 3, 4),
+i AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS until FROM daily),
+v AS (
+  SELECT list, kind, pattern, (DATE '2023-01-01' + CAST(day AS INTEGER)) AS valid_from, (DATE '2023-01-01' + CAST(until AS INTEGER)) AS valid_to FROM i WHERE NOT removed),
+hit AS (
+  SELECT c.page_id, v.list, v.valid_from FROM c JOIN v ON v.kind = 'host' AND v.pattern = c.host AND v.valid_from <= c.fetch_date AND (v.valid_to IS NULL OR c.fetch_date < v.valid_to)
+  UNION ALL
+  SELECT c.page_id, v.list, v.valid_from FROM c JOIN v ON v.kind = 'url' AND v.pattern = lower(c.page) AND v.valid_from <= c.fetch_date AND (v.valid_to IS NULL OR c.fetch_date < v.valid_to)
+  UNION ALL
+  SELECT c.page_id, v.list, v.valid_from FROM c JOIN v ON v.kind = 'domain' AND (v.pattern = c.host OR ends_with(c.host, '.' || v.pattern))
+    AND v.valid_from <= c.fetch_date AND (v.valid_to IS NULL OR c.fetch_date < v.valid_to)),
+found AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(valid_from) AS since FROM hit GROUP BY page_id)
+SELECT c.page_id, f.lists IS NOT NULL AS blocked, f.lists, f.since FROM c LEFT JOIN found f USING (page_id)"""
+
 OP4_SQL = """
 WITH groups AS (
   SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
@@ -137,4 +223,4 @@ FROM documents d JOIN groups g ON coalesce(d.text, '') = g.t"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_token_counts": OP8_SQL, "op10_url_filters": OP10_SQL}
