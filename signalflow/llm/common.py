@@ -14,6 +14,18 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+#: Rows in a batch between the JVM and Python: whole texts are long, and both sides hold a batch or two per task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, so that a task's memory does not depend on how many texts its input has."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, saved, small
+from .common import components, discard, saved, small, small_batches
 from .shingles import chunks, mix64, shingle_sets
 
 #: The threshold in hundredths, and the words of an n-gram.
@@ -140,6 +140,7 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
     a doc_id are sets of their own. Whole texts are used; an empty table gives no rows; other columns are ignored. N-grams
     are compared by 64-bit hashes.
     """
+    small_batches(documents.sparkSession)
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
     scanned = saved(
         source.mapInArrow(partial(_digests, n=words), "doc_id long, row_hash long, n int, d1 long, d2 long, token long, seen int"),

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import saved, small_batches
 from .tokens import tokenizer
 
 #: Tokens in a sequence, and the id that ends each document.
@@ -193,6 +193,7 @@ def pack(documents: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id
     doc_id, piece (from 0), start, length, ids_crc32 (of the little-endian unsigned 32-bit ids), sequence_id, offset, and
     with keep_ids also ids (binary, as for ids_crc32).
     """
+    small_batches(documents.sparkSession)
     schema = PIECES + (", ids binary" if keep_ids else "")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = rows.mapInArrow(partial(_pieces, path=tokenizer_path, length=length, end_id=end_id, keep_ids=keep_ids), schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small, small_batches
 from .shingles import chunks, ngram_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -126,6 +126,7 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measures(documents: DataFrame) -> DataFrame:
     """row_hash and MEASURES of each whole text, with doc_id. Null and empty texts measure 0 in all but n_lines."""
+    small_batches(documents.sparkSession)
     slim = documents.select("doc_id", F.xxhash64("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_measures, f"doc_id {kind}, row_hash long, {MEASURES}")
@@ -195,8 +196,6 @@ def judged(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def good_documents(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """documents that are kept; columns as before. The verdict depends on the text alone, so it is joined by id and text."""
-    from .common import small
-
     verdict = judged(documents, threshold).where("not kept").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).distinct()
     gone = small(saved(verdict, "rejected"))
     tagged = documents.withColumn("_hash", F.xxhash64("text"))

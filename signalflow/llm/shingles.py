@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Texts are handled in groups of about this many bytes, so that a task's memory does not depend on its input.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _SEED = 0x9E3779B97F4A7C15
 _STEP = 0x5851F42D4C957F2D

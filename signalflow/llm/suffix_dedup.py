@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved, small
+from .common import discard, saved, small, small_batches
 from .shingles import _word_powers, chunks, mix64, ngram_hashes, word_hashes
 
 #: Passages of at least this many words are found. A power of two of key positions competes for each suffix that is kept.
@@ -107,6 +107,7 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     """
     if min_words < WINDOW:
         raise ValueError(f"min_words must be at least {WINDOW}")
+    small_batches(documents.sparkSession)
     source = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
     suffixes = saved(source.mapInArrow(partial(_suffixes, min_words=min_words), "key long, around long, doc_id long, row_hash long, lo int, n int"), "suffixes")
     met = suffixes.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small_batches
 from .mixing import word_count
 from .tokens import tokenizer
 
@@ -26,6 +26,7 @@ def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def bpe_counts(documents: DataFrame, path: str, version: str) -> DataFrame:
     """Counts (doc_id, source, lang, tokenizer, tokens) of whole texts by a vocabulary file; null and empty texts have 0."""
+    small_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     slim = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("tokenizer"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(partial(_lengths, path=path), f"doc_id {kind}, source string, lang string, tokenizer string, tokens long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import saved, small, small_batches
 
 MAGIC, RECORD_END = "WARC/1.1\r\n", "\r\n\r\n"
 #: Payloads of fewer bytes are always stored whole.
@@ -121,6 +121,7 @@ def _segments(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.Reco
 
 
 def _read_segments(spark: SparkSession, path: str, keep: bool) -> DataFrame:
+    small_batches(spark)
     lines = spark.read.option("lineSep", MAGIC).text(path)
     slim = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     return slim.mapInArrow(lambda batches: _segments(batches, keep), SEGMENT + ", value binary" * keep)
