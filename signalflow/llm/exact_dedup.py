@@ -119,8 +119,8 @@ def exact_groups(documents: DataFrame, keep: str = "largest", index: DigestIndex
 def without_copies(documents: DataFrame, keep: str = "largest") -> DataFrame:
     """documents without the rows that exact_groups() drops; columns as before. Of rows that agree in id and text
     all stay, since nothing tells them apart."""
-    groups = exact_groups(documents, keep).where("not kept").select("doc_id", F.unhex("text_sha256").alias("_digest"))
-    gone = small(saved(groups.withColumnRenamed("doc_id", "_id").distinct(), "copies"))
-    tagged = documents.withColumn("_digest", text_digest(F.col("text")))
-    same = (tagged["_digest"] == gone["_digest"]) & tagged["doc_id"].eqNullSafe(gone["_id"])
+    groups = exact_groups(documents, keep).where("not kept").select("doc_id", F.unhex("text_sha256").alias("__sf_digest"))
+    gone = small(saved(groups.withColumnRenamed("doc_id", "__sf_id").distinct(), "copies"))
+    tagged = documents.withColumn("__sf_digest", text_digest(F.col("text")))
+    same = (tagged["__sf_digest"] == gone["__sf_digest"]) & tagged["doc_id"].eqNullSafe(gone["__sf_id"])
     return tagged.join(gone, same, "left_anti").select(*documents.columns)

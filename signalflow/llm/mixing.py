@@ -176,5 +176,5 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3))
     taken = mix(documents, weights).where("copies > 0").select("place", "copies").distinct()
     place = document_place()
     counted = saved(taken, "mix-taken")
-    joined = documents.withColumn("_place", place).join(small(counted.withColumnRenamed("place", "_place")), "_place")
-    return joined.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    joined = documents.withColumn("__sf_place", place).join(small(counted.withColumnRenamed("place", "__sf_place").withColumnRenamed("copies", "__sf_copies")), "__sf_place")
+    return joined.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__sf_copies"))).alias("__sf_copy")).drop("__sf_copy")

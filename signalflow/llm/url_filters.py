@@ -78,5 +78,5 @@ def _judged(captures: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def allowed(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     """captures that no list held when they were fetched; columns as before."""
-    judged = _judged(captures, intervals).where("lists is not null").select(F.col("row").alias("_row")).distinct()
-    return captures.withColumn("_row", _row()).join(small(saved(judged, "blocked")), "_row", "left_anti").select(*captures.columns)
+    judged = _judged(captures, intervals).where("lists is not null").select(F.col("row").alias("__sf_row")).distinct()
+    return captures.withColumn("__sf_row", _row()).join(small(saved(judged, "blocked")), "__sf_row", "left_anti").select(*captures.columns)

@@ -34,20 +34,22 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, payload: str = "html", min_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """pages with payload_bytes, payload_digest (hex SHA-1), record_type and refers_to.
+    """page_id, url and payload of pages with payload_bytes, payload_digest (hex SHA-1), record_type and refers_to.
 
     Of pages with equal payloads of at least min_bytes bytes, the one with the largest page_id is the response and the
     others revisit it. Null payloads are empty. A null page_id revisits the response, and is a response where every id is
     null; rows that repeat the largest page_id are all responses. Only digests that occur more than once are joined back.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    known = pages.select("*", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    known = pages.select("page_id", "url", payload, F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
     groups = known.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n"))
     several = small(saved(groups.where("_n > 1").drop("_n"), "warc-groups"))
     typed = known.join(several, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("_kept").isNotNull() & F.coalesce(F.col("page_id") != F.col("_kept"), F.lit(True))
     return typed.select(
-        *pages.columns,
+        "page_id",
+        "url",
+        payload,
         "payload_bytes",
         "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
