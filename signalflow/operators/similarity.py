@@ -48,15 +48,16 @@ def _bigrams(titles: DataFrame) -> DataFrame:
 def similar_titles(titles: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """All pairs (a, b, ratio) of ids whose titles reach the ratio; a < b.
 
-    titles: id (orderable), title. A ratio r (above 2/3) leaves at most 4 (1 - r) / (2 - r) of a title's bigrams without a
+    titles: id (orderable), title. A ratio r of at least 0.86 leaves at most 4 (1 - r) / (2 - r) of a title's bigrams without a
     partner: a character that is missing breaks two, one that is added breaks one. So among as many of the rarest bigrams
-    of two similar titles, and one more, there is a common one; titles are joined on those, within the band of lengths
+    of two similar titles, and one more, there is a common one (below 0.86 the
+    shortest titles need not share any); titles are joined on those, within the band of lengths
     that the ratio allows. A bounded Levenshtein distance, never larger than the characters in question, drops most
     pairs, and the longest common subsequence decides the rest. Equal titles are one before the join; titles of less than
     two characters match only equal ones. Null titles match nothing. Rows that repeat an id count once.
     """
-    if min_ratio <= 67:
-        raise ValueError("min_ratio must be above 67")
+    if min_ratio < 86:
+        raise ValueError("min_ratio must be at least 86")
     r = min_ratio / 100.0
     unique = titles.where("title is not null and id is not null").dropDuplicates(["id"])
     kinds = unique.groupBy("title").agg(F.min("id").alias("rep"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Days after which a re-delivered item is no longer looked for in the stream's state (the tables still know it).
 DEDUP_DAYS = 14
@@ -65,52 +66,49 @@ def rolling_counts(stream: DataFrame, time: str = "ts", length: str = "24 hours"
     return g.select(F.col("w.end").alias("as_of"), "n")
 
 
-class EventState(StatefulProcessor):
-    """An event's status and best evidence as articles and verdicts arrive, in their order; forgotten after MATCH days.
-
-    Input: event_id, seq, kind (article or verdict), source_is_primary, source_trust, status, confidence. Each article gives a row
-    with the reason why it is better evidence than all before it, or null.
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expire: bool) -> Iterator[pd.DataFrame]:
+    """One event's new articles and verdicts, in their order."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    status, primary, trust, verified, confidence = state.get if state.exists else ("new", False, -1, False, 0.0)
+    out = []
+    for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
+        if r.kind == "verdict":
+            status, confidence = r.status, float(r.confidence)
+            continue
+        is_primary, its_trust = bool(r.source_is_primary), int(r.source_trust)
+        reason = None
+        if status == "new":
+            status = "pending"
+        elif status == "pending":
+            reason = "pending_event_new_evidence"
+        elif status == "analysis_failed" and is_primary:
+            reason = "retry_failed_with_primary"
+        elif is_primary and not verified:
+            reason = "primary_source_discovered"
+        elif its_trust >= trust + 10:
+            reason = "higher_trust_source"
+        elif confidence < 0.6 and (is_primary or its_trust > trust):
+            reason = "low_confidence_better_evidence"
+        primary, trust = max((primary, trust), (is_primary, its_trust))
+        verified = verified or is_primary
+        out.append((key[0], int(r.seq), reason))
+    state.update((status, primary, trust, verified, confidence))
+    if expire:
+        state.setTimeoutDuration(DEDUP_DAYS * 24 * 3600 * 1000)
+    yield pd.DataFrame(out, columns=["event_id", "seq", "upgrade_reason"])
+
+
+def event_states(stream: DataFrame, expire: bool = True) -> DataFrame:
+    """Why each article is better evidence than all before it for its event, with the event's status and best evidence kept
+    between micro-batches and forgotten after DEDUP_DAYS without news. Use expire=False with the trigger availableNow, which
+    would go on for ever to wait for the timeouts.
+
+    stream: event_id, seq, kind (article or verdict), source_is_primary, source_trust, status, confidence. Returns event_id, seq
+    and upgrade_reason of each article, null for an event's first.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = "status string, primary boolean, trust int, verified boolean, confidence double"
-        self.state = handle.getValueState("event", schema, ttlDurationMs=DEDUP_DAYS * 24 * 3600 * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = self.state.get() if self.state.exists() else None
-        status, primary, trust, verified, confidence = now or ("new", False, -1, False, 0.0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if r.kind == "verdict":
-                status, confidence = r.status, float(r.confidence)
-                continue
-            reason = None
-            if status != "new":
-                better = bool(r.source_is_primary) or r.source_trust > trust
-                if status == "pending":
-                    reason = "pending_event_new_evidence"
-                elif status == "analysis_failed" and r.source_is_primary:
-                    reason = "retry_failed_with_primary"
-                elif r.source_is_primary and not verified:
-                    reason = "primary_source_discovered"
-                elif r.source_trust >= trust + 10:
-                    reason = "higher_trust_source"
-                elif confidence < 0.6 and better:
-                    reason = "low_confidence_better_evidence"
-            else:
-                status = "pending"
-            primary, trust = max((primary, trust), (bool(r.source_is_primary), int(r.source_trust)))
-            verified = verified or bool(r.source_is_primary)
-            out.append((key[0], int(r.seq), reason))
-        self.state.update((status, primary, int(trust), verified, confidence))
-        yield pd.DataFrame(out, columns=["event_id", "seq", "upgrade_reason"])
-
-    def close(self) -> None:
-        pass
-
-
-def event_states(stream: DataFrame) -> DataFrame:
-    """The upgrade reason of each article, with the event's state kept between micro-batches (needs the RocksDB state store)."""
-    return stream.groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=EventState(), outputStructType="event_id string, seq long, upgrade_reason string", outputMode="Append", timeMode="ProcessingTime"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return stream.groupBy("event_id").applyInPandasWithState(
+        partial(_advance, expire=expire), "event_id string, seq long, upgrade_reason string", "status string, primary boolean, trust int, verified boolean, confidence double", "append", timeout
     )

@@ -40,7 +40,7 @@ def variants():
     return out
 
 
-@pytest.mark.parametrize("ratio", [88.0, 75.0])
+@pytest.mark.parametrize("ratio", [88.0, 86.0, 94.5])
 def test_similar_titles_equal_all_pairs(spark, ratio):
     titles = variants()
     frame = spark.createDataFrame([*enumerate(titles), (1000, None), (3, titles[3])], "id long, title string")
@@ -102,7 +102,7 @@ def test_seen_before(spark):
 
 def test_upgrades(spark):
     rows = [
-        (1, "e", False, 50, "analyzed", None, 0.9), (2, "e", False, 55, "analyzed", None, 0.9), (3, "e", False, 60, "analyzed", None, 0.9), (4, "e", True, 60, "analyzed", None, 0.9), (5, "e", True, 65, "analyzed", None, 0.9),
+        (1, "e", False, 50, "analyzed", None, 0.9), (2, "e", False, 55, "analyzed", None, 0.9), (3, "e", False, 65, "analyzed", None, 0.9), (4, "e", True, 60, "analyzed", None, 0.9), (5, "e", True, 65, "analyzed", None, 0.9),
         (1, "f", False, 50, "pending", None, 0.0), (2, "f", False, 10, "pending", None, 0.0), (1, "g", False, 50, "discarded", "analysis_failed", 0.0), (2, "g", True, 40, "discarded", "analysis_failed", 0.0),
         (1, "h", False, 50, "analyzed", None, 0.5), (2, "h", False, 51, "analyzed", None, 0.5), (3, "h", False, 51, "analyzed", None, 0.5),
     ]
