@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from tokenizers import Tokenizer
 
 #: Words in each of the two generations of a Python worker's cache.
-GENERATION_WORDS = 300_000
+GENERATION_WORDS = 400_000
 #: White space other than single spaces and line feeds between other characters: such texts are encoded as a whole.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WIDE_GAPS = ("  ", "\n\n", " \n", "\n ")
@@ -60,7 +60,7 @@ class CachedTokenizer:
         text = word[1:] if word[:1] == _START else " " + word
         bare = text.lstrip(" ")
         if bare.isalpha():
-            letters = text.encode().decode("latin-1").translate(self.letters)
+            letters = text.replace(" ", self.letters[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
             return _bytes_of([t.id for t in self.model.tokenize(letters)])
         stem = word.rstrip(_PUNCTUATION)
         if len(stem) < len(word) and stem[-1:].isalpha():
