@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD_PATTERN, saved, small
+from .common import WORD_PATTERN, saved, small
 
 #: A document's place is a hash of 60 bits, read as six digits of this many bits.
 DIGIT_BITS, DIGITS = 10, 6
