@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from tokenizers import Tokenizer
 
 #: Words in each of the two generations of a Python worker's cache.
-GENERATION_WORDS = 400_000
+GENERATION_WORDS = 250_000
 #: White space other than single spaces and line feeds between other characters: such texts are encoded as a whole.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WIDE_GAPS = ("  ", "\n\n", " \n", "\n ")
