@@ -51,20 +51,20 @@ class Lexicon:
     def __init__(self, terms: list[Term]):
         self.terms = terms
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
         self.near: set[str] = set()
         words = [t.text for t in terms if not t.is_stem]
         self.lengths = {n + k for n in map(len, words) for k in range(-self.edits(n), self.edits(n) + 1)}
         self.most = max((self.edits(len(w)) for w in words), default=0)
         self.ends = {w[:2] for w in words} | {w[-2:] for w in words}
+        stems = {t.text: i for i, t in enumerate(terms) if t.is_stem}
+        #: The term's shortest stem, or the term itself: terms of one stem are not distinct hits.
+        self.family = [next((stems[t.text[:n]] for n in range(1, len(t.text) + 1) if t.text[:n] in stems), i) for i, t in enumerate(terms)]
         for i, t in enumerate(terms):
             node = self.root
             for c in t.text:
                 node = node.setdefault(c, {})
             node[("end", t.is_stem)] = i
-            if t.is_stem:
-                self.heads.setdefault(len(t.text), set()).add(t.text)
-            else:
+            if not t.is_stem:
                 self.near |= self._shortened(t.text, self.edits(len(t.text)))
         self.memory: dict[str, tuple[int, int] | None] = {}
 
@@ -82,10 +82,7 @@ class Lexicon:
         return out
 
     def _may_match(self, word: str) -> bool:
-        """Whether the search along the trie can find something."""
-        for n, s in self.heads.items():
-            if word[:n] in s:
-                return True
+        """Whether the search along the trie can find a term with wrong letters."""
         most = min(self.edits(len(word) + 1), self.most)
         if len(word) not in self.lengths:
             return False
@@ -94,6 +91,20 @@ class Lexicon:
             return False
         return not self.near.isdisjoint(self._shortened(word, most))
 
+    def _as_it_is(self, word: str) -> tuple[int, int] | None:
+        """The heaviest term that matches without a wrong letter, by one walk along the trie."""
+        node, found = self.root, []
+        for c in word:
+            if c not in node:
+                break
+            node = node[c]
+            if ("end", True) in node:
+                found.append(node[("end", True)])
+        else:
+            if ("end", False) in node:
+                found.append(node[("end", False)])
+        return (min(found, key=lambda i: (-self.terms[i].weight, i)), 0) if found else None
+
     def search(self, word: str) -> tuple[int, int] | None:
         """The best (term, wrong letters) for a word, by running the word's Levenshtein automaton along the trie.
 
@@ -135,11 +146,14 @@ class Lexicon:
         return (best[2], best[0]) if best else None
 
     def find(self, token: str) -> tuple[int, int] | None:
-        """search() for a lower-case token without the signs around it and with look-alikes read as letters; remembered."""
+        """search() for a lower-case token without the signs around it and with look-alikes read as letters: first for the word as
+        it is, then with wrong letters."""
         word = token if token.isalpha() else token.strip(_EDGES)
         if not word.isalpha():
             word = word.translate(LOOKALIKES)
-        return self.search(word) if word and self._may_match(word) else None
+        if not word:
+            return None
+        return self._as_it_is(word) or (self.search(word) if self._may_match(word) else None)
 
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$") + QUOTE_SIGNS + "…–—¿¡"
@@ -172,7 +186,7 @@ def text_features(text: str, lexicon: Lexicon) -> list[float]:
         else:
             exact += 1
     dense = max((sum(1 for b in at[k:] if b < a + DENSE) for k, a in enumerate(at[:2000])), default=0) if len(at) < 400 else len(at)
-    distinct = len({memory[words[i]][0] for i in at})
+    distinct = len({lexicon.family[memory[words[i]][0]] for i in at})
     return [math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), float(min(distinct, 10)), math.log1p(dense), math.log1p(weight), math.log1p(len(words)) / 10, 100 * len(at) / (len(words) + 20)]
 
 
@@ -221,7 +235,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROW
 def learn_terms(training: DataFrame) -> list[Term]:
     """Words and stems that are much more frequent in toxic texts, with the logarithm of how much more as weight.
 
-    A stem stands for all words that begin with it; words and longer stems that a chosen shorter stem covers are left out."""
+    A stem stands for all words that begin with it; longer stems that a chosen shorter stem covers are left out. Words stay beside
+    their stems, which match with no wrong letter."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1)))
 
     def with_stems(w: Column) -> Column:
@@ -243,7 +258,7 @@ def learn_terms(training: DataFrame) -> list[Term]:
             chosen.append(Term(stem, True, round(math.log(stems[stem][1]), 4)))
     for r in found:
         w = r["term"]
-        if w[-1] != "*" and not any(w[:n] in kept and len(w) > n for n in STEM_LETTERS):
+        if w[-1] != "*":
             chosen.append(Term(w, False, round(math.log(r["ratio"]), 4)))
     return sorted(chosen)
 

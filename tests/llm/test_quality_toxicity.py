@@ -95,3 +95,28 @@ def test_toxicity_edges(edge, empty, spark):
     rows = toxicity.toxicity(edge, none).collect()
     assert len(rows) == edge.count() and all(0 <= r.score <= 1 and r.predicted == 0 for r in rows)
     assert toxicity.toxicity(empty, none).count() == 0
+
+
+def taught(spark, toxic, clean):
+    """Training rows of the lexicon's part."""
+    rows = [(i, t, int(i < len(toxic)), 1) for i, t in enumerate([*toxic, *clean])]
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int, part long")
+
+
+def test_learned_words_match_misspelled(spark):
+    toxic = [f"you {w} go away" for w in ("moron", "idiot", "worthlessness") for _ in range(20)]
+    lexicon = toxicity.Lexicon(toxicity.learn_terms(taught(spark, toxic, ["please come here now"] * 60)))
+    for right, wrong, errors in (("moron", "morron", 1), ("idiot", "idiiot", 1), ("idiot", "ldiot", 1), ("worthlessness", "wrthlesnes", 3), ("worthlessness", "wrthlesness", 2)):
+        assert lexicon.find(right)[1] == 0
+        found = lexicon.find(wrong)
+        assert found is None if errors > 2 else (lexicon.terms[found[0]].text, found[1]) == (right, errors)
+        for w in (right, wrong):
+            assert lexicon.find(w) == lexicon.search(w)
+
+
+def test_misspelled_documents_score_higher(spark):
+    rows = [(i, f"you {'moron' if i % 2 else 'friend'} go home {'today' if i % 3 else 'later'}", i % 2) for i in range(300)]
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    texts = [(i, t) for i, t, _ in rows] + [(1000, "you morron go home today"), (1001, "you person go home today")]
+    score = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(texts, "doc_id long, text string"), labels).collect()}
+    assert score[1000] > 0.5 > score[1001]
