@@ -19,9 +19,8 @@ TRAIN_ROWS = 12_000
 #: Of every PARTS training rows, one teaches the weights and the others the lexicon, so that terms which fit the lexicon's rows
 #: by chance get no weight.
 PARTS = 3
-#: A term is in at least so many toxic texts and so large a share of them, and so many times as frequent there as in others;
-#: at most so many terms.
-TERM_TEXTS, TERM_SHARE, TERM_RATIO, TERMS = 5, 0.02, 8.0, 1000
+#: A term is in at least so many toxic texts, and so many times as frequent there as in others.
+TERM_TEXTS, TERM_RATIO = 5, 8.0
 #: Stems are beginnings of words of these lengths.
 STEM_LETTERS = range(4, 9)
 #: Letters that a term needs for one and for two wrong letters.
@@ -246,16 +245,16 @@ def learn_terms(training: DataFrame) -> list[Term]:
     terms = training.where("part > 0").select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(own)).alias("term"))
     size = training.where("part > 0").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, other = (size["t"] or 0) + 1.0, size["n"] - (size["t"] or 0) + 1.0
-    counts = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= max(TERM_TEXTS, TERM_SHARE * toxic))
+    counts = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= TERM_TEXTS)
     ratio = ((F.col("t") + 0.5) / toxic) / ((F.col("n") - F.col("t") + 0.5) / other)
-    found = counts.select("term", "t", ratio.alias("ratio")).where(F.col("ratio") >= TERM_RATIO).orderBy(F.desc("t"), F.desc("ratio"), "term").limit(TERMS).collect()
-    stems: dict[str, tuple[int, float]] = {r["term"][:-1]: (r["t"], r["ratio"]) for r in found if r["term"][-1] == "*"}
+    found = counts.select("term", ratio.alias("ratio")).where(F.col("ratio") >= TERM_RATIO).collect()
+    stems: dict[str, float] = {r["term"][:-1]: r["ratio"] for r in found if r["term"][-1] == "*"}
     chosen: list[Term] = []
     kept: set[str] = set()
     for stem in sorted(stems, key=len):
         if not any(stem[:n] in kept for n in STEM_LETTERS):
             kept.add(stem)
-            chosen.append(Term(stem, True, round(math.log(stems[stem][1]), 4)))
+            chosen.append(Term(stem, True, round(math.log(stems[stem]), 4)))
     for r in found:
         w = r["term"]
         if w[-1] != "*":

@@ -120,3 +120,11 @@ def test_misspelled_documents_score_higher(spark):
     texts = [(i, t) for i, t, _ in rows] + [(1000, "you morron go home today"), (1001, "you person go home today")]
     score = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(texts, "doc_id long, text string"), labels).collect()}
     assert score[1000] > 0.5 > score[1001]
+
+
+def test_rare_terms_are_learned(spark):
+    letters = "bcdfghjklm"
+    many = [f"{letters[i // 100 % 10]}{letters[i // 10 % 10]}{letters[i % 10]}{letters[i // 1000]}" for i in range(1200)]
+    toxic = [" ".join(many)] * 500 + ["you zwackel"] * 5 + ["you friend"] * 95
+    terms = {t.text for t in toxicity.learn_terms(taught(spark, toxic, ["you friend"] * 600))}
+    assert {*many, "zwackel"} <= terms
