@@ -158,6 +158,16 @@ class Lexicon:
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$") + QUOTE_SIGNS + "…–—¿¡"
 
 
+def densest(at: list[int]) -> int:
+    """The most of these ascending places that lie within DENSE words."""
+    most = first = 0
+    for k, b in enumerate(at):
+        while b >= at[first] + DENSE:
+            first += 1
+        most = max(most, k + 1 - first)
+    return most
+
+
 def text_features(text: str, lexicon: Lexicon) -> list[float]:
     """FEATURES of one whole text."""
     memory = lexicon.memory
@@ -184,7 +194,7 @@ def text_features(text: str, lexicon: Lexicon) -> list[float]:
             misspelled += 1
         else:
             exact += 1
-    dense = max((sum(1 for b in at[k:] if b < a + DENSE) for k, a in enumerate(at[:2000])), default=0) if len(at) < 400 else len(at)
+    dense = densest(at)
     distinct = len({lexicon.family[memory[words[i]][0]] for i in at})
     return [math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), float(min(distinct, 10)), math.log1p(dense), math.log1p(weight), math.log1p(len(words)) / 10, 100 * len(at) / (len(words) + 20)]
 

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from signalflow.llm import quality, toxicity
@@ -128,3 +129,15 @@ def test_rare_terms_are_learned(spark):
     toxic = [" ".join(many)] * 500 + ["you zwackel"] * 5 + ["you friend"] * 95
     terms = {t.text for t in toxicity.learn_terms(taught(spark, toxic, ["you friend"] * 600))}
     assert {*many, "zwackel"} <= terms
+
+
+def test_dense_hits_of_long_texts():
+    lexicon = toxicity.Lexicon([toxicity.Term("moron", False, 5.0)])
+    dense = lambda text: round(np.expm1(toxicity.text_features(text, lexicon)[toxicity.FEATURES.index("dense")]))
+    scattered = " ".join("moron" if i % 50 == 0 else "tree" for i in range(20_000 + 5_000))
+    assert dense(scattered) == 1
+    assert dense(f"{'moron tree ' * 2500} {'moron ' * 60}") == toxicity.DENSE
+    rng = np.random.default_rng(1)
+    for share in (0.01, 0.1, 0.5):
+        at = np.flatnonzero(rng.random(1500) < share).tolist()
+        assert toxicity.densest(at) == max(sum(a <= b < a + toxicity.DENSE for b in at) for a in at)
