@@ -327,7 +327,7 @@ def anchor_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("It is about gpt-"), (k % 5).cast("string"), F.lit(" only"))
     model = F.when(k % 2 == 0, F.concat(F.lit("lab/Model_"), v))
     subject = F.when(k % 8 == 0, F.lit("another")).otherwise(F.concat(F.lit("Model "), v))
-    found = analysis.anchor_contradictions(title, F.substring("text", 1, 50), model, subject, text)
+    found = analysis.anchor_contradictions(title, F.col("text"), model, subject, text)
     return d.select("doc_id", F.array_join(found, ",").alias("contradictions"))
 
 
