@@ -70,6 +70,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents' tokens by two vocabularies: a load of the first one's counts under both versions, a recount by the
+    second, delivered twice, and the removal of documents without tokens."""
+    documents = _table(spark, sf_dir, "documents")
+    first, second = (saved(token_counts.bpe_counts(documents, tokenizer_path(f"{v}.json"), v), v) for v in ("byte_bpe_50k", "word_bpe_49k"))
+    guess = first.withColumn("tokenizer", F.lit("word_bpe_49k"))
+    recount = token_counts.revised(guess, second)
+    rollup = token_counts.TokenRollup(spark)
+    rollup.apply("load", token_counts.inserted(first.unionByName(guess)))
+    rollup.apply("recount", recount)
+    rollup.apply("recount", recount)
+    rollup.compact()
+    rollup.apply("empty", token_counts.deleted(first.unionByName(second).where("tokens = 0")))
+    return rollup.totals()
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -104,7 +120,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op8_bpe_token_counts, op9_toxicity, op10_url_filters)}
 
 
 _SIZES = r"""

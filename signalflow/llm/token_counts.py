@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -12,15 +12,39 @@ from pyspark.sql import functions as F
 
 from .common import new_path, small_batches
 from .mixing import word_count
-from .tokens import tokenizer
+from .tokens import GENERATION_WORDS, tokenizer
 
 GROUP = ["source", "lang", "tokenizer"]
 
 
+#: Where texts are cut for vocabularies that drop white space: none of their tokens spans it.
+_GAP = re.compile("[ \n]+")
+
+
+def _counter(path: str) -> Callable[[str | None], int]:
+    """The number of tokens of a text. Vocabularies that drop white space count each word by itself, and remember it."""
+    own = tokenizer(path)
+    if own.line_feed or own.whole(" "):
+        return lambda text: len(own.encode(text)) // 4
+    known: dict[str, int] = {}
+
+    def count(text: str | None) -> int:
+        n = 0
+        for w in _GAP.split(text or ""):
+            if w not in known:
+                if len(known) >= GENERATION_WORDS:
+                    known.clear()
+                known[w] = len(own.whole(w)) // 4
+            n += known[w]
+        return n
+
+    return count
+
+
 def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = tokenizer(path).encode
+    count = _counter(path)
     for batch in batches:
-        n = pa.array([len(encode(t)) // 4 for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+        n = pa.array([count(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "tokens"])
 
 
