@@ -129,61 +129,48 @@ SELECT doc_id, source, text,
        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS place
 FROM documents"""
 
+#: Sizes and targets by the contract (the water level from sums over pairs of sources), then one document after the other: first
+#: fit in the order of places, and exchanges chosen among all pairs of documents.
 OP1_SQL = rf"""
 WITH RECURSIVE sizes AS ({_SIZES}),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighted AS (
-  SELECT source, source_size, 3 * source_size AS cap,
-         1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight
-  FROM sources),
-ranked AS (
-  SELECT *, row_number() OVER (ORDER BY cap / weight, source IS NULL, encode(source)) AS k FROM weighted),
+  SELECT *, 3 * source_size AS cap, 1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight FROM sources),
 levels AS (
-  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
-            / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
-  FROM ranked),
-filled AS (SELECT k AS fill_k, level AS fill_level FROM levels WHERE cap / weight >= level ORDER BY k LIMIT 1),
-targets AS (
-  SELECT source, source_size,
-         CASE WHEN k >= fill_k THEN least(weight * fill_level, CAST(cap AS DOUBLE)) ELSE CAST(cap AS DOUBLE) END AS target
-  FROM levels LEFT JOIN filled ON true),
-whole AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+  SELECT a.cap / a.weight AS ratio, (SELECT sum(source_size) FROM sources) AS everything,
+         coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.cap / a.weight), 0) AS full_caps, sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight) AS open_weight
+  FROM weighted a CROSS JOIN weighted b GROUP BY a.source, a.cap, a.weight),
+water AS (
+  SELECT min_by(CAST(everything - full_caps AS DOUBLE) / open_weight, ratio) AS level FROM levels
+  WHERE ratio >= CAST(everything - full_caps AS DOUBLE) / open_weight),
+targets AS (SELECT source, source_size, least(weight * level, CAST(cap AS DOUBLE)) AS target FROM weighted CROSS JOIN water),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole, CAST(floor(target * 0.001) AS BIGINT) AS near FROM targets),
 atoms AS (
-  SELECT source, place, sum(size) AS words FROM sizes GROUP BY source, place),
-running AS (
-  SELECT a.*, sum(words) OVER (PARTITION BY a.source ORDER BY place) AS upto, w.target - w.whole * w.source_size AS budget
-  FROM atoms a JOIN whole w ON a.source IS NOT DISTINCT FROM w.source),
-cut AS (
-  SELECT source, any_value(budget) AS budget, min(place) FILTER (WHERE upto > budget) AS low,
-         coalesce(max(upto) FILTER (WHERE upto <= budget), 0) AS done
-  FROM running GROUP BY source),
-closing1 AS (
-  SELECT c.source, min(struct_pack(gap := abs(c.budget - c.done - s.size), place := s.place)) AS pick
-  FROM cut c JOIN sizes s ON s.source IS NOT DISTINCT FROM c.source
-  WHERE s.size > 0 AND s.place >= c.low AND abs(c.budget - c.done - s.size) < c.budget - c.done GROUP BY c.source),
-after1 AS (
-  SELECT c.*, c.budget - c.done AS missing0, a.words AS words1, p.pick.place AS place1
-  FROM cut c LEFT JOIN closing1 p ON p.source IS NOT DISTINCT FROM c.source
-  LEFT JOIN atoms a ON a.source IS NOT DISTINCT FROM c.source AND a.place = p.pick.place),
-state1 AS (
-  SELECT source, low, CASE WHEN abs(missing0 - words1) < abs(missing0) THEN place1 END AS place1,
-         CASE WHEN abs(missing0 - words1) < abs(missing0) THEN missing0 - words1 ELSE missing0 END AS missing1
-  FROM after1),
-closing2 AS (
-  SELECT c.source, min(struct_pack(gap := abs(c.missing1 - s.size), place := s.place)) AS pick
-  FROM state1 c JOIN sizes s ON s.source IS NOT DISTINCT FROM c.source
-  WHERE s.size > 0 AND s.place >= c.low AND s.place IS DISTINCT FROM c.place1 AND abs(c.missing1 - s.size) < abs(c.missing1) GROUP BY c.source),
-state2 AS (
-  SELECT c.source, c.low, c.place1, CASE WHEN abs(c.missing1 - a.words) < abs(c.missing1) THEN p.pick.place END AS place2
-  FROM state1 c LEFT JOIN closing2 p ON p.source IS NOT DISTINCT FROM c.source
-  LEFT JOIN atoms a ON a.source IS NOT DISTINCT FROM c.source AND a.place = p.pick.place),
-copies AS (
-  SELECT s.doc_id, s.size, w.source_size, w.target,
-         CASE WHEN w.target <= 0 THEN 0 ELSE CAST(least(w.whole + CASE WHEN s.place < t.low
-              OR s.place IS NOT DISTINCT FROM t.place1 OR s.place IS NOT DISTINCT FROM t.place2 THEN 1 ELSE 0 END, 3) AS INTEGER) END AS copies
-  FROM sizes s JOIN whole w ON s.source IS NOT DISTINCT FROM w.source JOIN state2 t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM copies"""
+  SELECT source, place, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (PARTITION BY source ORDER BY place) AS k FROM sizes WHERE size > 0 GROUP BY source, place),
+fits AS (
+  SELECT source, CAST(0 AS BIGINT) AS k, near, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) AS missing, CAST(-1 AS BIGINT) AS place, CAST(0 AS BIGINT) AS size, whole, 0 AS extra FROM plan
+  UNION ALL
+  SELECT f.source, a.k, f.near, CASE WHEN f.missing > f.near AND a.size <= f.missing THEN f.missing - a.size ELSE f.missing END, a.place, a.size, f.whole,
+         CASE WHEN f.missing > f.near AND a.size <= f.missing THEN 1 ELSE 0 END
+  FROM fits f JOIN atoms a ON a.source IS NOT DISTINCT FROM f.source AND a.k = f.k + 1),
+swaps AS (
+  SELECT 0 AS turn, source, near, place, size, whole, whole + extra AS copies, last_value(missing) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS missing, true AS moved FROM fits
+  UNION ALL
+  SELECT s.turn + 1, s.source, s.near, s.place, s.size, s.whole,
+         CASE WHEN s.place < 0 THEN s.copies ELSE s.copies + (s.place = m.best.place)::INT - (s.place = m.best.out_place)::INT END, s.missing + m.best.out - m.best.size, true
+  FROM swaps s JOIN (
+    SELECT a.source, min(struct_pack(far := greatest(abs(a.missing + a.size - b.size), a.near), kind := (b.place >= 0 AND b.copies > b.whole)::INT, gap := abs(a.missing + a.size - b.size),
+                                     "out" := a.size, size := b.size, out_place := a.place, place := b.place)) AS best
+    FROM swaps a JOIN swaps b ON a.source IS NOT DISTINCT FROM b.source
+    WHERE (a.place < 0 OR a.copies > 0) AND (b.place < 0 OR b.copies < 3) AND abs(a.missing) > a.near AND abs(a.missing + a.size - b.size) < abs(a.missing)
+    GROUP BY a.source) m ON m.source IS NOT DISTINCT FROM s.source),
+final AS (SELECT source, place, arg_max(copies, turn) AS copies FROM swaps WHERE place >= 0 GROUP BY source, place)
+SELECT s.doc_id, s.size, p.source_size, p.target, CAST(s.size * c AS BIGINT) AS taken, CAST(c AS INTEGER) AS copies
+FROM (
+  SELECT s.doc_id, s.size, s.source, p.source_size, p.target, CASE WHEN p.target <= 0 THEN 0 ELSE coalesce(f.copies, p.whole) END AS c
+  FROM sizes s JOIN plan p ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN final f ON f.source IS NOT DISTINCT FROM s.source AND f.place = s.place) s
+JOIN plan p ON p.source IS NOT DISTINCT FROM s.source"""
 
 OP6_SQL = """
 WITH p AS (

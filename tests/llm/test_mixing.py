@@ -45,6 +45,24 @@ def test_targets_and_takes_on_documents(docs):
         assert abs(taken[s] - t) <= 0.02 * t + 30
 
 
+def test_sources_come_within_one_percent(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    targets, taken, _ = check(frame, mixing.mix(frame))
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 0.01 * t
+
+
+def test_closing_reaches_what_sizes_allow(spark):
+    """Hundreds of steps are open: no limit of rounds keeps a source from its target."""
+    rows = [(i, "w " * (2 + i % 3), "a") for i in range(300)] + [(1000 + i, "w " * 997, "a") for i in range(3)] + [(2000 + i, "w " * (7 * i + 3), "b") for i in range(40)]
+    rows += [(5000, "x y z", "b"), (5000, "x y z", "b")]  # rows that agree in everything
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets, taken, got = check(frame, mixing.mix(frame))
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 0.001 * t + 1
+    assert len({r.copies for r in got if r.doc_id == 5000}) == 1
+
+
 def test_reruns_agree(docs):
     once, again = mixing.mix(docs), mixing.mix(docs.repartition(7))
     key = lambda d: sorted((r.doc_id, r.copies) for r in d.collect())
