@@ -18,8 +18,8 @@ from .tokens import tokenizer
 
 #: Tokens in a sequence, and the id that ends each document.
 LENGTH, END_ID = 1024, 2
-#: Patterns have up to this many documents; gradient steps of the fit.
-PATTERN_PIECES, FIT_STEPS = 3, 600
+#: Gradient steps of the fit of patterns, which have up to three pieces.
+FIT_STEPS = 600
 
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, rank long"
 
@@ -130,8 +130,7 @@ def plan_packing(histogram: np.ndarray, steps: int = FIT_STEPS) -> list[tuple[tu
 
     Pieces of the full length stand alone. For the others, pattern counts are fitted and rounded: up where their fraction
     is above a bound, else down, and never to more pieces than there are; what remains is packed best-fit. Of
-    several bounds, and of no patterns at all (best where counts are so few that fractions mean nothing), the plan with the
-    fewest sequences is used. Works on the histogram only, so it costs the same for any number of pieces. All pieces are
+    several bounds the plan with the fewest sequences is used. Works on the histogram only, so it costs the same for any number of pieces. All pieces are
     packed.
     """
     length = len(histogram) - 1
@@ -141,9 +140,9 @@ def plan_packing(histogram: np.ndarray, steps: int = FIT_STEPS) -> list[tuple[tu
     patterns = length_patterns(length)[1:]
     x = fit_patterns(rest.astype(float), patterns, steps) if rest.any() else np.zeros(len(patterns))
     plans = []
-    for bound in (1.0, 0.75, 0.5, 0.25, None):
+    for bound in (1.0, 0.75, 0.5, 0.25):
         plan, left = dict(full), rest.copy()
-        counts = np.zeros(len(x), np.int64) if bound is None else np.floor(x + 1 - bound).astype(np.int64)
+        counts = np.floor(x + 1 - bound).astype(np.int64)
         for i in sorted(np.flatnonzero(counts), key=lambda i: -x[i]):
             parts, times = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
             n = int(min(counts[i], (left[parts] // times).min()))

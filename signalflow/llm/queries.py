@@ -55,34 +55,35 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents after four batches: a load with first guesses, a recount, a second tokenizer version, and the
-    removal of documents without words. The recount is delivered twice and counts once."""
-    counts = saved(token_counts.word_and_byte_counts(_table(spark, sf_dir, "documents")), "counts")
-    by = lambda version, column: counts.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(column).alias("tokens"), "words")
-    recount = token_counts.revised(by("words-1", "parts"), by("words-1", "words"))
+    """Totals of all documents' tokens by two vocabularies: a load of the first one's counts under both versions, a recount by the
+    second, delivered twice, and the removal of documents without tokens."""
+    first, second = "byte_bpe_50k", "word_bpe_49k"
+    counts = saved(token_counts.bpe_counts(_table(spark, sf_dir, "documents"), {v: tokenizer_path(f"{v}.json") for v in (first, second)}), "counts")
+    old = counts.where(F.col("tokenizer") == first)
+    guess = old.withColumn("tokenizer", F.lit(second))
+    recount = token_counts.revised(guess, counts.where(F.col("tokenizer") == second))
     rollup = token_counts.TokenRollup(spark)
-    rollup.apply("load", token_counts.inserted(by("words-1", "parts")))
+    rollup.apply("load", token_counts.inserted(old.unionByName(guess)))
     rollup.apply("recount", recount)
-    rollup.apply("bytes", token_counts.inserted(by("bytes-1", "bytes")))
     rollup.apply("recount", recount)
     rollup.compact()
-    rollup.apply("empty", token_counts.deleted(by("words-1", "words").where("words = 0").unionByName(by("bytes-1", "bytes").where("words = 0"))))
+    rollup.apply("empty", token_counts.deleted(counts.where("tokens = 0")))
     return rollup.totals()
 
 
-def op8_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents' tokens by two vocabularies: a load of the first one's counts under both versions, a recount by the
-    second, delivered twice, and the removal of documents without tokens."""
-    documents = _table(spark, sf_dir, "documents")
-    first, second = (saved(token_counts.bpe_counts(documents, tokenizer_path(f"{v}.json"), v), v) for v in ("byte_bpe_50k", "word_bpe_49k"))
-    guess = first.withColumn("tokenizer", F.lit("word_bpe_49k"))
-    recount = token_counts.revised(guess, second)
+def op8_word_byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup over counts that SQL can check, words and bytes, after four batches: a load with first guesses, a recount, a
+    second version, and the removal of documents without words. The recount is delivered twice and counts once."""
+    counts = saved(token_counts.word_and_byte_counts(_table(spark, sf_dir, "documents")), "counts")
+    by = lambda version, column: counts.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(column).alias("tokens"), "words")
+    recount = token_counts.revised(by("words-1", "parts"), by("words-1", "words"))
     rollup = token_counts.TokenRollup(spark)
-    rollup.apply("load", token_counts.inserted(first.unionByName(guess)))
+    rollup.apply("load", token_counts.inserted(by("words-1", "parts")))
     rollup.apply("recount", recount)
+    rollup.apply("bytes", token_counts.inserted(by("bytes-1", "bytes")))
     rollup.apply("recount", recount)
     rollup.compact()
-    rollup.apply("empty", token_counts.deleted(first.unionByName(second).where("tokens = 0")))
+    rollup.apply("empty", token_counts.deleted(by("words-1", "words").where("words = 0").unionByName(by("bytes-1", "bytes").where("words = 0"))))
     return rollup.totals()
 
 
@@ -120,7 +121,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op8_bpe_token_counts, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op8_word_byte_counts, op9_toxicity, op10_url_filters)}
 
 
 _SIZES = r"""
@@ -226,4 +227,4 @@ FROM documents d JOIN groups g ON coalesce(d.text, '') = g.t"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_token_counts": OP8_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_word_byte_counts": OP8_SQL, "op10_url_filters": OP10_SQL}

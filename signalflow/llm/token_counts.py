@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, small_batches
 from .mixing import word_count
-from .tokens import GENERATION_WORDS, tokenizer
+from .tokens import CACHED_CHARS, GENERATION_WORDS, tokenizer
 
 GROUP = ["source", "lang", "tokenizer"]
 
@@ -31,29 +31,35 @@ def _counter(path: str) -> Callable[[str | None], int]:
     def count(text: str | None) -> int:
         n = 0
         for w in _GAP.split(text or ""):
-            if w not in known:
-                if len(known) >= GENERATION_WORDS:
-                    known.clear()
-                known[w] = len(own.whole(w)) // 4
-            n += known[w]
+            found = known.get(w)
+            if found is None:
+                found = len(own.whole(w)) // 4
+                if len(w) <= CACHED_CHARS:
+                    if len(known) >= GENERATION_WORDS:
+                        known.clear()
+                    known[w] = found
+            n += found
         return n
 
     return count
 
 
-def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    count = _counter(path)
+def _lengths(batches: Iterator[pa.RecordBatch], paths: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    counts = {version: _counter(path) for version, path in paths.items()}
     for batch in batches:
-        n = pa.array([count(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "tokens"])
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        for version, count in counts.items():
+            n = pa.array([count(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([version] * len(texts)), n], names=[*batch.schema.names[:-1], "tokenizer", "tokens"])
 
 
-def bpe_counts(documents: DataFrame, path: str, version: str) -> DataFrame:
-    """Counts (doc_id, source, lang, tokenizer, tokens) of whole texts by a vocabulary file; null and empty texts have 0."""
+def bpe_counts(documents: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """Counts (doc_id, source, lang, tokenizer, tokens) of whole texts, a row for each tokenizer version, by its vocabulary file in
+    paths. All versions count in one pass over the texts. Null and empty texts have 0; an empty table gives no rows."""
     small_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    slim = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("tokenizer"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(partial(_lengths, path=path), f"doc_id {kind}, source string, lang string, tokenizer string, tokens long")
+    slim = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(partial(_lengths, paths=paths), f"doc_id {kind}, source string, lang string, tokenizer string, tokens long")
 
 
 def inserted(counts: DataFrame) -> DataFrame:
@@ -104,11 +110,15 @@ class TokenRollup:
         rows = [(m,) for m in merged] or [("",)]
         self.spark.createDataFrame(rows, "merged string").coalesce(1).write.mode("overwrite").parquet(self._at("commits", name))
 
+    def _merged(self, marks: list[str]) -> tuple[str | None, set[str]]:
+        """The last merge, and the names of all batches that it holds; those of earlier merges are among them."""
+        last = max((m for m in marks if m.startswith("merge-")), key=lambda m: int(m[6:]), default=None)
+        return last, {r[0] for r in self.spark.read.parquet(self._at("commits", last)).collect()} if last else set()
+
     def committed(self) -> list[str]:
         """Names of all batches that count."""
         marks = self._names("commits")
-        merged = [r[0] for m in marks if m.startswith("merge-") for r in self.spark.read.parquet(self._at("commits", m)).collect()]
-        return sorted({*(m for m in marks if not m.startswith("merge-")), *(m for m in merged if m)})
+        return sorted({*(m for m in marks if not m.startswith("merge-")), *self._merged(marks)[1]} - {""})
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Add the changes (source, lang, tokenizer, sign, tokens) as the batch of that name; False if it was there already."""
@@ -124,11 +134,8 @@ class TokenRollup:
     def _live(self) -> list[str]:
         """The folders that make up the totals: the last merge, and batches that it does not hold."""
         marks = self._names("commits")
-        merges = sorted((m for m in marks if m.startswith("merge-")), key=lambda m: int(m[6:]))
-        if not merges:
-            return marks
-        held = {r[0] for r in self.spark.read.parquet(self._at("commits", merges[-1])).collect()}
-        return [merges[-1], *(m for m in marks if not m.startswith("merge-") and m not in held)]
+        last, held = self._merged(marks)
+        return [last] * bool(last) + [m for m in marks if not m.startswith("merge-") and m not in held]
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs and tokens over all committed batches; groups whose sums are both 0 are left out."""

@@ -8,8 +8,9 @@ from collections.abc import Iterable
 
 from tokenizers import Tokenizer
 
-#: Words in each of the two generations of a Python worker's cache.
-GENERATION_WORDS = 250_000
+#: Words in each of the two generations of a Python worker's cache, and characters of a word from which on it is not kept: so
+#: the cache has a bounded number of bytes.
+GENERATION_WORDS, CACHED_CHARS = 250_000, 64
 #: White space other than single spaces and line feeds between other characters: such texts are encoded as a whole.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WIDE_GAPS = ("  ", "\n\n", " \n", "\n ")
@@ -28,17 +29,17 @@ class CachedTokenizer:
     The vocabulary's splitting rule never joins characters across a single space between two others (the space begins the
     next piece), nor letters with the punctuation after them. So each word, with the space before it, is encoded once by
     the tokenizers library and reused: words of letters by its BPE model alone, other ones by the whole tokenizer. Texts
-    with wider gaps are handed to it whole. Strings of special tokens are ordinary text. The cache holds two generations of
-    words, so its size is bounded and frequent words stay.
+    with wider gaps, and texts in which the string of a special token occurs, are handed to it whole; the library reads such a
+    string as that token. The cache holds two generations of words, so its size is bounded and frequent words stay.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         # A byte's character in the vocabulary, as the library writes it.
         self.letters = self._byte_letters()
         self.line_feed = self.whole("\n")
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
@@ -76,16 +77,17 @@ class CachedTokenizer:
             found = self.old.get(word)
             if found is None:
                 found = self._word(word)
-            if len(self.new) >= GENERATION_WORDS:
-                self.old, self.new = self.new, {}
-            self.new[word] = found
+            if len(word) <= CACHED_CHARS:
+                if len(self.new) >= GENERATION_WORDS:
+                    self.old, self.new = self.new, {}
+                self.new[word] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers; null is empty."""
         if not text:
             return b""
-        if _START in text or text[0] in " \n" or text[-1] in " \n" or any(g in text for g in _WIDE_GAPS) or _OTHER_SPACE.search(text):
+        if _START in text or text[0] in " \n" or text[-1] in " \n" or any(g in text for g in _WIDE_GAPS) or _OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         words = text.split(" ")
         words[0] = _START + words[0]

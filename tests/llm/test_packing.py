@@ -15,9 +15,7 @@ PATH = tokenizer_path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(plain, text):
@@ -28,10 +26,16 @@ def ids_of(plain, text):
 @given(st.text(alphabet=st.sampled_from("ab é,.!?'’\n\t 1Ünit\x00|#$🙂中<>endoftext"), max_size=60))
 def test_word_cache_equals_the_library(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     assert np.frombuffer(tokens.tokenizer(PATH).encode(text), "<u4").tolist() == ids_of(t, text)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|>", "a. <|endoftext|><|endoftext|>\nb", "<|ENDOFTEXT|> <|endoftext", "q" * 5000, "long " + "xyz-" * 4000 + " end"])
+def test_special_strings_and_long_words_as_in_the_library(text, plain):
+    own = tokens.CachedTokenizer(PATH)
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(plain, text)
+    assert all(len(w) <= tokens.CACHED_CHARS for w in own.new)
+
+
 @pytest.mark.parametrize("table", ["docs", "edge", "empty"])
 def test_pieces_round_trip(table, request, plain):
     frame = request.getfixturevalue(table)
@@ -100,7 +104,7 @@ def test_fit_reaches_an_exact_histogram():
 
 def test_rollup(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a b", "en", "s", "c" * 5), (2, None, None, "s", ""), (3, "", "en", None, "x")], "doc_id long, text string, lang string, source string, tokens string")
-    counts = token_counts.bpe_counts(frame, PATH, "v1")
+    counts = token_counts.bpe_counts(frame, {"v1": PATH})
     roll = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
     assert roll.totals().count() == 0
     assert roll.apply("one", token_counts.inserted(counts)) and not roll.apply("one", token_counts.inserted(counts))

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 from tokenizers import Tokenizer
@@ -9,7 +10,6 @@ VERSIONS = ("byte_bpe_50k", "word_bpe_49k")
 
 def library(version):
     t = Tokenizer.from_file(queries.tokenizer_path(f"{version}.json"))
-    t.encode_special_tokens = True
     return lambda text: len(t.encode(text or "", add_special_tokens=False).ids)
 
 
@@ -21,7 +21,7 @@ def test_query_counts_tokens_of_two_vocabularies(spark, sf_dir, docs):
             if n := count(r.text):
                 docs_of[r.source, r.lang, v] += 1
                 tokens_of[r.source, r.lang, v] += n
-    found = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in queries.queries()["op8_bpe_token_counts"](spark, sf_dir).collect()}
+    found = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in queries.queries()["op8_token_counts"](spark, sf_dir).collect()}
     assert found == {k: (docs_of[k], tokens_of[k]) for k in docs_of}
 
 
@@ -30,3 +30,21 @@ def test_white_space_and_odd_texts_count_as_in_the_library():
     for v in VERSIONS:
         count, own = token_counts._counter(queries.tokenizer_path(f"{v}.json")), library(v)
         assert [count(t) for t in texts] == [own(t) for t in texts]
+
+
+def test_word_and_byte_counts(edge, empty):
+    rows = [(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()]
+    want = sorted(((i, (0 if not t else t.count(" ") + 1), len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), len((t or "").encode())) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.parts, r.words, r.bytes) for r in token_counts.word_and_byte_counts(edge).collect()), key=str) == want
+    assert token_counts.word_and_byte_counts(empty).count() == 0
+    assert token_counts.bpe_counts(empty, {"v": queries.tokenizer_path("byte_bpe_50k.json")}).count() == 0
+
+
+def test_many_merges_keep_all_names(spark, tmp_path):
+    one = spark.createDataFrame([("s", "en", "v", 3)], "source string, lang string, tokenizer string, tokens long")
+    roll = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    for k in range(3):
+        assert roll.apply(f"b{k}", token_counts.inserted(one))
+        roll.compact()
+    assert roll.committed() == ["b0", "b1", "b2"] and not roll.apply("b0", token_counts.inserted(one))
+    assert [(r.docs, r.tokens) for r in roll.totals().collect()] == [(3, 9)]
