@@ -196,7 +196,7 @@ def text_features(text: str, lexicon: Lexicon) -> list[float]:
             exact += 1
     dense = densest(at)
     distinct = len({lexicon.family[memory[words[i]][0]] for i in at})
-    return [math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), float(min(distinct, 10)), math.log1p(dense), math.log1p(weight), math.log1p(len(words)) / 10, 100 * len(at) / (len(words) + 20)]
+    return [math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), math.log1p(distinct), math.log1p(dense), math.log1p(weight), math.log1p(len(words)) / 10, 100 * len(at) / (len(words) + 20)]
 
 
 def _features(batches: Iterator[pa.RecordBatch], terms: list[Term], weights: list[float] | None) -> Iterator[pa.RecordBatch]:
@@ -230,14 +230,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, toxic and part of at most about `rows` labelled documents that are not held out."""
+    """doc_id, text, toxic and part of at most about `rows` labelled documents that are not held out. Of several rows with one
+    doc_id the smallest text counts, and of several labels the larger one."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = saved(known.where(~held_out(F.col("doc_id"))), "toxic-labels")
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = saved(chosen.select(F.col("doc_id").alias("_id"), "toxic"), "toxic-chosen")
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    joined = texts.join(small(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"])
+    joined = texts.join(small(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return saved(joined.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")), "toxic-training")
 
 

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from signalflow.llm import quality, toxicity
@@ -48,6 +49,41 @@ def test_good_documents_keeps_columns(edge):
     assert left.columns == edge.columns and {r["label"] for r in left.collect()} <= {"clash"}
 
 
+def plain_em(rows, rounds=300):
+    """Expectation-maximisation text by text and rule by rule; rows: votes as strings. Returns the posterior of good per row."""
+    k = len(quality.RULES)
+    hit, error, bad = [quality.FIRST_HIT] * k, [quality.FIRST_ERROR] * k, quality.FIRST_BAD
+    for _ in range(rounds):
+        good = []
+        for row in rows:
+            b, g = bad, 1 - bad
+            for j, v in enumerate(row):
+                if v == "0":
+                    b, g = b * hit[j], g * error[j]
+                elif v == "2":
+                    b, g = b * (1 - hit[j]), g * (1 - error[j])
+            good.append(g / (b + g))
+        for j in range(k):
+            voted = [(p, row[j] == "0") for p, row in zip(good, rows) if row[j] != "1"]
+            e = (sum(p for p, v in voted if v) + quality.FIRST_ERROR) / (sum(p for p, _ in voted) + 1)
+            h = (sum(1 - p for p, v in voted if v) + quality.FIRST_HIT) / (sum(1 - p for p, _ in voted) + 1)
+            error[j] = min(max(e, quality.LEAST_SHARE), quality.MOST_ERROR)
+            hit[j] = min(max(h, error[j], quality.LEAST_SHARE), 1 - quality.LEAST_SHARE)
+        bad = min(max(sum(1 - p for p in good) / len(good), 0.001), quality.MOST_BAD)
+    return good
+
+
+def test_verdicts_equal_plain_expectation_maximisation(docs):
+    rows = [r for r in quality.judged(docs).collect()]
+    fit = [r for r in rows if not r.base_failed]
+    for r, p in zip(fit, plain_em([r.votes for r in fit])):
+        assert abs(r.posterior - p) < 1e-3 and (r.kept == (p >= 0.5) or abs(p - 0.5) < 1e-3)
+    for r in rows:  # votes from the measures, rule by rule
+        for v, (_, measure, above, below) in zip(r.votes, quality.RULES):
+            over, under = (r[x] for x in measure.split(" / "))
+            assert v == ("1" if not under else "0" if over / under > above else "2" if over / under < below else "1")
+
+
 def test_label_model_finds_agreeing_rules():
     k = len(quality.RULES)
     good, bad = "2" * k, "000" + "2" * (k - 3)
@@ -75,6 +111,74 @@ def test_automaton_equals_edit_distance():
         assert (found is None) == (not fits) and (found is None or found[1] == min(fits)[0])
 
 
+def plain_find(token, terms):
+    """The best (term, wrong letters): all terms are tried, and their distances computed in full."""
+    word = token if token.isalpha() else token.strip(toxicity._EDGES)
+    word = word if word.isalpha() else word.translate(toxicity.LOOKALIKES)
+    fits = [(-t.weight, i) for i, t in enumerate(terms) if word and (word.startswith(t.text) if t.is_stem else word == t.text)]
+    if fits:
+        return min(fits)[1], 0
+    edits = toxicity.Lexicon.edits
+    near = [i for i, t in enumerate(terms) if not t.is_stem and abs(len(t.text) - len(word)) <= 2 and word]
+    near = [(d, -terms[i].weight, i) for i in near if (d := edit_distance(word, terms[i].text)) <= min(edits(len(word) + 1), edits(len(terms[i].text)))]
+    return (min(near)[2], min(near)[0]) if near else None
+
+
+def plain_features(text, terms, known):
+    """FEATURES from their definitions, word by word."""
+    words = (text or "").lower().split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    for w in set(words) - known.keys():
+        known[w] = plain_find(w, terms)
+    quoted, hits = 0, []
+    for i, w in enumerate(words):
+        if known[w] is None:
+            continue
+        around = words[max(0, i - 4) : i + 5]
+        marks = sum(x[0] in toxicity.QUOTE_SIGNS or x[-1] in toxicity.QUOTE_SIGNS for x in around)
+        if marks >= 2 or (w[0] in toxicity.QUOTE_SIGNS and w[-1] in toxicity.QUOTE_SIGNS) or any(x.strip(".,:;") in toxicity.QUOTE_WORDS for x in around):
+            quoted += 1
+        else:
+            hits.append((i, *known[w]))
+    stems = [t.text for t in terms if t.is_stem]
+    family = {min((s for s in stems if terms[t].text.startswith(s)), key=len, default=terms[t].text) for _, t, _ in hits}
+    dense = max((sum(i <= j < i + 25 for j, _, _ in hits) for i, _, _ in hits), default=0)
+    wrong = sum(e > 0 for _, _, e in hits)
+    weight = sum(terms[t].weight / (1 + e) for _, t, e in hits)
+    return [*np.log1p([len(hits) - wrong, wrong, quoted, len(family), dense, weight]), np.log1p(len(words)) / 10, 100 * len(hits) / (len(words) + 20)]
+
+
+def test_scores_equal_plain_ones(spark):
+    base = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    training = toxicity.training_rows(documents, labels)
+    terms = toxicity.learn_terms(training)
+    known = {}
+    lessons = sorted((r.doc_id, r.toxic, r.text) for r in training.where("part = 0").collect() if len(r.text or "") < 4000)
+    some = documents.where("length(text) < 1500").orderBy("doc_id").limit(60).collect()
+    for t in [r.text for r in some] + [t for _, y, t in lessons if y][:30] + ["you stupd m0ron", 'he said "idiot"', "", None]:
+        assert np.allclose(plain_features(t, terms, known), toxicity.text_features(t or "", toxicity.Lexicon(terms)))
+    # A score is the logistic function of the weighted features; the weights leave no gradient of the penalised likelihood.
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + rng.normal(size=400) > 0.3).astype(float)
+    w = np.array(toxicity.fit_weights(x, y))
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert np.abs(x.T @ (y - p) - w[1:]).max() < 1e-6 and abs((y - p).sum()) < 0.01
+    got = list(toxicity._features(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["you stupd m0ron"])], names=["doc_id", "text"])]), terms, [0.5] + [0.1 * k for k in range(8)]))
+    z = 0.5 + sum(0.1 * k * f for k, f in enumerate(plain_features("you stupd m0ron", terms, known)))
+    assert abs(got[0].column(1)[0].as_py() - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_training_rows_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 50, f"text {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(7, 0), (8, 1)], "doc_id long, toxic int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted((r.doc_id, r.text, r.toxic) for r in toxicity.training_rows(f, labels).collect()) for f in (frame.coalesce(1), frame.repartition(7, "text")))
+    assert one == two and len(one) == len({r[0] for r in one})
+
+
 def test_quotation_is_told_apart():
     lexicon = toxicity.Lexicon([toxicity.Term("moron", False, 5.0)])
     names = toxicity.FEATURES
@@ -88,7 +192,7 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{base}/labels.parquet")
     rows = toxicity.toxicity(spark.read.parquet(f"{base}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
     toxic, clean = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
-    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
 
 
 def test_toxicity_edges(edge, empty, spark):
