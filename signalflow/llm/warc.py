@@ -19,8 +19,6 @@ MAGIC, RECORD_END = "WARC/1.1\r\n", "\r\n\r\n"
 REVISIT_BYTES = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-SEGMENT = "file string, block long, seq long, before long, size long, total long"
-
 
 def _header_value(value: Column) -> Column:
     """A value that fits on a header line: control characters and spaces are percent-encoded as %20."""
@@ -37,14 +35,16 @@ def with_revisits(pages: DataFrame, payload: str = "html", min_bytes: int = REVI
     """page_id, url and payload of pages with payload_bytes, payload_digest (hex SHA-1), record_type and refers_to.
 
     Of pages with equal payloads of at least min_bytes bytes, the one with the largest page_id is the response and the
-    others revisit it. Null payloads are empty. A null page_id revisits the response, and is a response where every id is
+    others revisit it. Payloads are equal if their SHA-256 and sizes are. Null payloads are empty. A null page_id revisits the response, and is a response where every id is
     null; rows that repeat the largest page_id are all responses. Only digests that occur more than once are joined back.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    known = pages.select("page_id", "url", payload, F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
-    groups = known.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n"))
+    size = F.octet_length(body).cast("long")
+    same = F.when(size >= min_bytes, F.unhex(F.sha2(body, 256))).alias("_same")
+    known = pages.select("page_id", "url", payload, size.alias("payload_bytes"), F.sha1(body).alias("payload_digest"), same)
+    groups = known.where("_same is not null").groupBy("_same", "payload_bytes").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n"))
     several = small(saved(groups.where("_n > 1").drop("_n"), "warc-groups"))
-    typed = known.join(several, ["payload_digest", "payload_bytes"], "left")
+    typed = known.join(several, ["_same", "payload_bytes"], "left")
     revisit = F.col("_kept").isNotNull() & F.coalesce(F.col("page_id") != F.col("_kept"), F.lit(True))
     return typed.select(
         "page_id",
@@ -89,68 +89,57 @@ def write_warc(pages: DataFrame, path: str, payload: str = "html", date: str = "
     known.select(record.alias("value")).write.option("lineSep", RECORD_END).text(path)
 
 
-def _head(segment: bytes) -> tuple[int, int] | None:
-    """(bytes of the WARC header with its blank line, content length), if the bytes after the magic are a header."""
-    end = segment.find(b"\r\n\r\n")
-    if end < 0:
-        return None
-    for line in segment[:end].split(b"\r\n"):
-        name, _, value = line.partition(b":")
-        if name.strip().lower() == b"content-length":
-            value = value.strip()
-            return (end + 4, int(value)) if value.isdigit() and len(value) < 18 else None
-    return None
-
-
-def _segments(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
-    """What lies between two magics, with its place in its block; total: bytes from the magic before it to where the record
-    that starts there would end, by its own header."""
-    now, seq, before = None, 0, 0
-    names = ["file", "block", "seq", "before", "size", "total"] + ["value"] * keep
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep
-    for batch in batches:
-        rows = []
-        for value, file, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if (file, block) != now:
-                now, seq, before = (file, block), 0, 0
-            head = _head(value)
-            total = len(MAGIC) + sum(head) + len(RECORD_END) if head else None
-            rows.append((file, block, seq, before, len(value), total, *([value] if keep else [])))
-            seq += 1
-            before += len(value) + len(MAGIC)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+def _header(segment: Column) -> Column:
+    """What stands before the first blank line after a magic, null where there is none; and the content length it gives."""
+    header = F.substring_index(segment, "\r\n\r\n", 1)
+    return F.when(F.octet_length(header) < F.octet_length(segment), header)
 
 
-def _read_segments(spark: SparkSession, path: str, keep: bool) -> DataFrame:
-    small_batches(spark)
+def _content_length(header: Column) -> Column:
+    """The first content length in a header, null if there is none or it is no number."""
+    value = F.trim(F.regexp_extract(header, r"(?id)(?:^|\n)[ \t]*content-length[ \t]*:([^\r\n]*)", 1))
+    return F.when(value.rlike(r"^[0-9]{1,17}$"), value).cast("long")
+
+
+def _read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between two magics: file, block (where its split begins), at (grows along a block), value.
+
+    Saved once: all that follows reads this table, so places stay the same however the files would be split another time."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    slim = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return slim.mapInArrow(lambda batches: _segments(batches, keep), SEGMENT + ", value binary" * keep)
+    slim = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return saved(slim, "warc-segments", compression="zstd")
 
 
-def boundaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Candidate records of all files under path (file, block, seq, start, total), and those that are no simple record:
-    (file, block, seq, owner), owner being the start of the record they belong to, null where they belong to none.
+def boundaries(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate records (file, block, at, start, next, end) of segments as from _read_segments(), and those segments that are no
+    simple record: (at, file, start, owner), owner being the start of the record they belong to, null where they belong to none.
 
-    Tasks emit for every magic where the record that starts there would end. Nearly always that is the next magic; the
-    others are the breaks of a file. From a break, the next one that counts is the first at or after the end it names, and
-    jumps along these pointers, doubled in length each round, mark the breaks that can be reached from the start of the
-    file. Magics strictly inside a reached break's record are payload. After a record that ends nowhere (a cut file)
-    nothing is reached.
+    For every magic, tasks emit where the record that starts there would end by its own header. Nearly always that is the next
+    magic; the others are the breaks of a file. From a break, the next one that counts is the first at or after the end it
+    names, and jumps along these pointers, doubled in length each round, mark the breaks that can be reached from the start of
+    the file. Magics strictly inside a reached break's record are payload. After a record that ends nowhere (a cut file)
+    nothing is reached. Places come from the bytes of each block and of the blocks before it, so that no task gets more than
+    a block, or a file's breaks.
     """
     d = len(MAGIC)
-    raw = saved(_read_segments(spark, path, False), "warc-segments")
+    header = _header(F.col("value"))
+    total = d + F.octet_length(header) + 4 + _content_length(header) + len(RECORD_END)
+    raw = saved(segments.select("file", "block", "at", F.octet_length("value").cast("long").alias("size"), total.cast("long").alias("total")), "warc-places")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = raw.groupBy("file", "block").agg(F.sum(F.col("size") + d).alias("bytes"))
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("bytes").over(Window.partitionBy("file")).alias("all"))
-    placed = raw.join(blocks, ["file", "block"]).select("file", "block", "seq", (F.col("base") + F.col("before") - d).alias("start"), "total", (F.col("all") - d).alias("eof"))
-    order = Window.partitionBy("file").orderBy("start")
+    blocks = saved(
+        blocks.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"), (F.sum("bytes").over(Window.partitionBy("file")) - d).alias("eof")), "warc-blocks"
+    )
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = raw.select("*", F.coalesce(F.sum(F.col("size") + d).over(inside), F.lit(0)).alias("before"))
+    placed = before.join(small(blocks), ["file", "block"]).withColumn("start", F.col("base") + F.col("before") - d)
+    spots = saved(placed.select("file", "block", "at", "start", (F.col("start") + F.col("size") + d).alias("next"), (F.col("start") + F.col("total")).alias("end"), "eof"), "warc-spots")
     # What stands before the first magic starts at -d and is no candidate.
-    linked = placed.where("start >= 0").select("*", F.coalesce(F.lead("start").over(order), F.col("eof")).alias("next"), (F.col("start") + F.col("total")).alias("end"))
-    candidates = saved(linked, "warc-candidates")
+    candidates = spots.where("start >= 0")
     breaks = candidates.where("end is null or end <> next").select("file", "start", F.coalesce("end", "eof").alias("end"), "eof", F.col("end").isNotNull().alias("sized"))
-    ends_at = candidates.select("file", F.col("start").alias("end"), F.lit(True).alias("lands"))
-    breaks = saved(breaks.join(ends_at, ["file", "end"], "left").select("file", "start", "end", (F.coalesce("lands", F.lit(False)) | ((F.col("end") == F.col("eof")) & F.col("sized"))).alias("lands")), "warc-breaks")
+    breaks = saved(breaks, "warc-breaks")
+    landed = candidates.select("file", F.col("start").alias("end")).join(small(breaks.select("file", "end").distinct()), ["file", "end"], "left_semi").withColumn("lands", F.lit(True))
+    breaks = saved(breaks.join(landed, ["file", "end"], "left").select("file", "start", "end", (F.coalesce("lands", F.lit(False)) | ((F.col("end") == F.col("eof")) & F.col("sized"))).alias("lands")), "warc-breaks")
     starts = candidates.groupBy("file").agg(F.min("start").alias("start"))
     targets = breaks.where("lands").select("file", F.col("end").alias("at"), F.col("start").alias("of"), F.lit(0).alias("kind"))
     begin = starts.where("start = 0").select("file", F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("of"), F.lit(0).alias("kind"))
@@ -168,17 +157,20 @@ def boundaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         first, second = jumps.alias("a"), jumps.alias("b")
         doubled = first.join(second, (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.of"))).select("a.file", "a.of", "b.to")
         jumps = saved(doubled, "warc-jumps")
-    owners = breaks.join(reached, ["file", "start"], "left_semi")
-    # Every candidate after a reached break and before its end is the break's; where it lands nowhere, all to the end of file.
-    whole_bad = candidates.select("file").distinct().join(starts.where("start = 0"), "file", "left_anti")
-    spots = candidates.select("file", "block", "seq", "start").join(owners.select("file").unionByName(whole_bad).distinct(), "file", "left_semi")
-    tagged = spots.join(owners.select("file", "start", F.col("end").alias("own_end"), "lands"), ["file", "start"], "left")
-    past = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("own_end").isNotNull(), F.struct(F.col("start").alias("at"), F.col("own_end").alias("end"), "lands")), ignorenulls=True).over(past)
-    covered = tagged.select("*", last.alias("own")).join(whole_bad.select("file", F.lit(True).alias("bad")), "file", "left")
-    inside = F.coalesce((F.col("start") < F.col("own.end")) | ~F.col("own.lands"), F.lit(False)) | F.coalesce("bad", F.lit(False))
-    odd = covered.where(inside).select("file", "block", "seq", "start", F.when(F.col("own.lands") & F.col("bad").isNull(), F.col("own.at")).alias("owner"))
-    return candidates, saved(odd, "warc-odd")
+    owners = small(saved(breaks.join(reached, ["file", "start"], "left_semi").select("file", "start", F.struct(F.col("start").alias("at"), "end", "lands").alias("own")), "warc-owners"))
+    # A candidate belongs to the last reached break at or before it, if that one's record ends after it; where that lands
+    # nowhere, all to the end of the file does. Within a block the last one is looked up, and each block brings its last one on.
+    whole_bad = starts.where("start > 0").select("file", F.lit(True).alias("bad"))
+    tagged = saved(candidates.select("file", "block", "at", "start").join(owners, ["file", "start"], "left"), "warc-tagged")
+    per_block = tagged.groupBy("file", "block").agg(F.max("own").alias("own"))
+    carried = per_block.select("file", "block", F.max("own").over(earlier).alias("carried"))
+    upto = Window.partitionBy("file", "block").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = tagged.select("file", "block", "at", "start", F.max("own").over(upto).alias("last")).join(carried, ["file", "block"]).join(whole_bad, "file", "left")
+    covered = covered.withColumn("own", F.coalesce("last", "carried"))
+    held = F.coalesce((F.col("start") < F.col("own.end")) | ~F.col("own.lands"), F.lit(False)) | F.coalesce("bad", F.lit(False))
+    odd = covered.where(held).select("at", "file", "start", F.when(F.col("own.lands") & F.col("bad").isNull(), F.col("own.at")).alias("owner"))
+    lead_in = spots.where("start < 0").select("at", "file", "start", F.lit(None).cast("long").alias("owner"))
+    return candidates, saved(odd.unionByName(lead_in), "warc-odd")
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +187,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n, length = _head(value)
-            block = value[n : n + length]
-            headers = fields(value[:n])
+        for file, length, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            head, _, rest = value.partition(b"\r\n\r\n")
+            block = rest[:length]
+            headers = fields(head)
             http, payload = [], block
             if dict(headers).get("content-type", "").startswith("application/http"):
                 head, _, payload = block.partition(b"\r\n\r\n")
@@ -212,17 +204,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records of the WARC files under path: file, headers and http_headers (maps, names in lower case) and payload.
 
     Boundaries are verified as in boundaries(): a payload that holds the magic, or whole WARC records, is never cut, and a
-    truncated last record is left out. Files may be larger than a task's share. Files without records give no rows.
+    truncated last record is left out. Files may be larger than a task's share, and are read once. Files without records give
+    no rows.
     """
-    _, odd = boundaries(spark, path)
-    segments = _read_segments(spark, path, True)
-    key = ["file", "block", "seq"]
-    # Before the first magic of a file there is no record.
-    plain = segments.where("not (block = 0 and seq = 0)").join(small(odd.select(*key)), key, "left_anti").select("file", "value")
-    parts = segments.join(small(odd.where("owner is not null")), key).select("file", "owner", "start", F.col("value").cast("string").alias("value"))
+    small_batches(spark)
+    segments = _read_segments(spark, path)
+    _, odd = boundaries(segments)
+    plain = segments.join(small(odd.select("at")), "at", "left_anti").select("file", "value")
+    parts = segments.select("at", "value").join(small(odd.where("owner is not null")), "at").select("file", "owner", "start", "value")
     joined = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
-    whole = joined.select("file", F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).cast("binary").alias("value"))
-    return plain.unionByName(whole).mapInArrow(_parsed, "file string, headers map<string,string>, http_headers map<string,string>, payload binary")
+    whole = joined.select("file", F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))
+    rows = plain.unionByName(whole).select("file", _content_length(_header(F.col("value"))).alias("length"), F.col("value").cast("binary").alias("value"))
+    return rows.mapInArrow(_parsed, "file string, headers map<string,string>, http_headers map<string,string>, payload binary")
 
 
 def page_records(records: DataFrame) -> DataFrame:

@@ -54,6 +54,24 @@ def test_round_trip_over_splits(spark, archive, split):
             spark.conf.set(k, v)
 
 
+def test_splits_may_change_between_reads(spark, tmp_path):
+    """Executors come and go: what was read once keeps its places when the files would be split otherwise later."""
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism")
+    before = {k: spark.conf.get(k, None) for k in names}
+    rows = [(i, f"http://h/{i}", f"page {i} " + (INNER + "x" * (i % 50)) * (i % 6)) for i in range(300)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    try:
+        spark.conf.set(names[0], "1")
+        spark.conf.set(names[1], "8")
+        records = warc.page_records(warc.read_warc(spark, f"file://{tmp_path}/w"))
+        spark.conf.set(names[1], "2")
+        got = {r.page_id: r.payload_digest for r in records.collect()}
+        assert records.count() == 300 and got == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_cut_and_foreign_files(spark, archive, tmp_path):
     data = open(sorted(glob.glob(archive[7:] + "/part*"))[0], "rb").read()
     (tmp_path / "cut.warc").write_bytes(data[:-10])
