@@ -25,12 +25,12 @@ def _runs(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(grams) - WINDOW + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
-    low = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
+    low, chosen = grams, np.arange(len(grams))
     step = 1
     while step < WINDOW:
-        low = np.minimum(low[:-step], low[step:])
+        right = low[step:] < low[:-step]
+        low, chosen = np.where(right, low[step:], low[:-step]), np.where(right, chosen[step:], chosen[:-step])
         step *= 2
-    chosen = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
     text = np.searchsorted(first, np.arange(n), side="right") - 1
     inside = np.arange(n) + WINDOW <= first[text + 1]
     begins = np.flatnonzero(inside & np.concatenate(([True], (chosen[1:] != chosen[:-1]) | ~inside[:-1] | (text[1:] != text[:-1]))))

@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from signalflow.llm import exact_dedup, ngram_join, suffix_dedup
@@ -40,7 +42,30 @@ def test_index_over_several_runs(spark):
     index.flush(batch((1, 3), (3, 9)), "b")  # written again after a loss: counts once
     before = {bytes(r.digest): (r.rows, r.smallest, r.largest) for r in index.lookup(batch((1, 0)).select("digest")).collect()}
     assert before == {b"\x01": (2, 3, 5)}
-    assert {bytes(r.digest): (r.rows, r.smallest, r.largest) for r in index.compact().collect()} == {b"\x01": (2, 3, 5), b"\x02": (1, 6, 6), b"\x03": (1, 9, 9)}
+    assert {bytes(r.digest): (r.rows, r.smallest, r.largest) for r in index.entries().collect()} == {b"\x01": (2, 3, 5), b"\x02": (1, 6, 6), b"\x03": (1, 9, 9)}
+
+
+def test_levels_keep_all_entries(spark, monkeypatch):
+    """Many batches, compacted in between, with memtables that are full after a few rows."""
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 3)
+    index, want = exact_dedup.DigestIndex(spark), {}
+    for k in range(9):
+        rows = [(bytes([(k * 5 + j) % 11]), k * 10 + j) for j in range(8)] + [(b"x", None)]
+        index.flush(spark.createDataFrame(rows, "digest binary, id long").coalesce(2), f"batch{k}")
+        index.compact()
+        for d, i in rows:
+            n, ids = want.get(d, (0, []))
+            want[d] = (n + 1, ids + [i] * (i is not None))
+    assert [len(level) for level in index.levels] == [1, 2]
+    got = {bytes(r.digest): (r.rows, r.smallest, r.largest) for r in index.entries().collect()}
+    assert got == {d: (n, min(ids, default=None), max(ids, default=None)) for d, (n, ids) in want.items()}
+
+
+def test_memtables_flush_sorted_runs():
+    batch = pa.RecordBatch.from_arrays([pa.array([b"b", b"a", b"b", b"c"]), pa.array([4, 3, 2, None])], names=["digest", "id"])
+    runs = [b.to_pylist() for b in exact_dedup._memtables(iter([batch, batch, batch]), 8)]
+    assert [[r["digest"] for r in run] for run in runs] == [[b"a", b"b", b"c"]] * 2
+    assert runs[0][1] == {"digest": b"b", "rows": 4, "smallest": 2, "largest": 4} and runs[1][2] == {"digest": b"c", "rows": 1, "smallest": None, "largest": None}
 
 
 def shingles(text):
@@ -144,3 +169,16 @@ def test_passages_with_different_surroundings(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(frame).collect())
     assert got == brute_spans(rows)
+
+
+def test_positions_in_very_long_texts():
+    """The smallest of 32 neighbours is found beyond 2**24 words, and the leftmost of equals."""
+    n = (1 << 24) + 400
+    grams = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5DEECE66D)
+    grams[n - 200 : n - 150] = 7
+    chosen, begin, count = suffix_dedup._runs(grams, np.array([0, n]))
+    tail = begin >= n - 400
+    for c, b, k in zip(chosen[tail], begin[tail], count[tail]):
+        for at in (b, b + k - 1):
+            assert c == at + int(np.argmin(grams[at : at + 32]))
+    assert count.sum() == n - 31 and chosen.max() > 1 << 24
