@@ -1,7 +1,9 @@
-"""Similar titles: an exact similarity join by rare bigrams, and leader clustering in rounds of joins."""
+"""Similar titles: an exact similarity join by rare q-grams, and leader clustering in rounds of joins."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +14,8 @@ from .tables import saved
 
 #: Titles match from this ratio on.
 MIN_RATIO = 88.0
+#: Letters of the grams that longer titles are joined on.
+LONG_GRAM = 4
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -38,44 +42,77 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _bigrams(titles: DataFrame) -> DataFrame:
-    """rep, title and g for each bigram; equal bigrams of a title are told apart by their number of occurrence."""
-    at = F.when(F.length("title") > 1, F.sequence(F.lit(1), F.length("title") - 1))
-    each = titles.select("rep", "title", F.explode(at).alias("i")).select("rep", "title", "i", F.substr("title", "i", F.lit(2)).alias("g"))
-    return each.select("rep", "title", F.concat("g", F.lit("#"), F.row_number().over(W.partitionBy("rep", "g").orderBy("i")).cast("string")).alias("g"))
+def _broken(r: float, q: int) -> float:
+    """The largest share of a title's letters that counts its q-grams without a partner in a title of ratio r or more.
+
+    A letter that is missing breaks q of them, one that is added q - 1; most break when letters are only missing, which the ratio
+    allows for 2 (1 - r) / (2 - r) of a title's letters."""
+    return max(q * 2 * (1 - r) / (2 - r), (2 * q - 1) * (1 - r))
+
+
+def _grams(titles: DataFrame, q: int) -> DataFrame:
+    """rep, n, i (place) and g for each q-gram; equal ones of a title are told apart by their number of occurrence."""
+    each = titles.where(F.length("title") >= q).select("rep", "n", "title", F.explode(F.sequence(F.lit(1), F.length("title") - q + 1)).alias("i"))
+    each = each.select("rep", "n", "i", F.substr("title", "i", F.lit(q)).alias("g"))
+    return each.select("rep", "n", "i", F.xxhash64("g", F.row_number().over(W.partitionBy("rep", "g").orderBy("i"))).alias("g"))
+
+
+def _candidates(titles: DataFrame, r: float, q: int) -> DataFrame:
+    """Pairs (rep, rep2) of titles (rep, title, n) that share one of the rarest q-grams at places, and have lengths, that the
+    ratio allows.
+
+    Two titles of ratio r share a q-gram among the rarest of each, one more than can be broken. The join's key has beside the
+    q-gram a band of lengths and a stretch of places, so that a frequent q-gram is split over many keys; each entry is looked for
+    in its own and the neighbouring bands and stretches. Only ids and numbers travel."""
+    grams = _grams(titles, q)
+    frequency = grams.groupBy("g").agg(F.count("*").alias("df"))
+    order = F.row_number().over(W.partitionBy("rep").orderBy("df", "g"))
+    prefix = grams.join(frequency, "g").select("*", order.alias("k")).where(F.col("k") <= F.floor(F.lit(_broken(r, q) + 1e-9) * F.col("n")) + 1)
+    step = (2 - r) / r  # a similar title is at most so many times as long
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + 1e-9).cast("int")
+    # Places differ by the letters that one of the titles has more than the other up to there.
+    shift = lambda b: F.ceil(F.lit(2 * (1 - r) / (2 - r)) * F.pow(F.lit(step), b + 1) + 1).cast("int")
+    here = prefix.select("rep", "n", "i", "g", band.alias("band"))
+    mine = here.select("rep", "n", "i", "g", "band", F.floor(F.col("i") / shift(F.col("band"))).cast("int").alias("at"))
+    # An entry is entered in the bands of titles that are as long or shorter, in the stretches of those bands.
+    other = here.select(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), "g", F.explode(F.sequence(F.col("band") - 1, F.col("band"))).alias("band"))
+    stretch = F.floor(F.col("i2") / shift(F.col("band"))).cast("int")
+    other = other.select("*", F.explode(F.sequence(stretch - 1, stretch + 1)).alias("at"))
+    lengths = F.lit(r) * (F.col("n") + F.col("n2")) <= 2 * F.col("n") + F.lit(1e-9)
+    order_once = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") < F.col("rep2")))
+    places = F.abs(F.col("i") - F.col("i2")) <= F.lit(1 - r + 1e-9) * (F.col("n") + F.col("n2"))
+    met = mine.join(other, ["g", "band", "at"]).where(order_once & lengths & places)
+    return met.select(F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")).distinct()
 
 
 def similar_titles(titles: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """All pairs (a, b, ratio) of ids whose titles reach the ratio; a < b.
 
-    titles: id (orderable), title. A ratio r of at least 0.86 leaves at most 4 (1 - r) / (2 - r) of a title's bigrams without a
-    partner: a character that is missing breaks two, one that is added breaks one. So among as many of the rarest bigrams
-    of two similar titles, and one more, there is a common one (below 0.86 the
-    shortest titles need not share any); titles are joined on those, within the band of lengths
-    that the ratio allows. A bounded Levenshtein distance, never larger than the characters in question, drops most
-    pairs, and the longest common subsequence decides the rest. Equal titles are one before the join; titles of less than
-    two characters match only equal ones. Null titles match nothing. Rows that repeat an id count once.
+    titles: id (orderable), title. Titles are joined on their rarest q-grams, as many as a similar title may lack and one more:
+    four letters where that leaves some of a title's, two letters for shorter titles and those that may be similar to them. A
+    bounded Levenshtein distance, never larger than the letters that two similar titles do not share, drops most pairs, and the
+    longest common subsequence decides the rest. Below a ratio of 0.86 the shortest titles need not share a gram of two letters.
+    Equal titles are one before the join; titles of less than two characters match only equal ones. Null titles match
+    nothing. Rows that repeat an id count once.
     """
     if min_ratio < 86:
         raise ValueError("min_ratio must be at least 86")
     r = min_ratio / 100.0
     unique = titles.where("title is not null and id is not null").dropDuplicates(["id"])
-    kinds = unique.groupBy("title").agg(F.min("id").alias("rep"))
-    grams = _bigrams(kinds)
-    frequency = grams.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = grams.join(frequency, "g").select(
-        "rep", "title", "g", F.row_number().over(W.partitionBy("rep").orderBy("df", "g")).alias("k")
-    )
-    broken = F.floor(F.lit(4 * (1 - r) / (2 - r) + 1e-9) * F.length("title"))
-    prefix = ranked.where(F.col("k") <= broken + 1).select("rep", "title", "g", F.length("title").alias("n"))
-    other = prefix.select(F.col("rep").alias("rep2"), F.col("title").alias("title2"), "g", F.col("n").alias("n2"))
-    band = F.lit(r) * (F.col("n") + F.col("n2")) <= 2 * F.least("n", "n2") + F.lit(1e-9)
+    kinds = saved(unique.groupBy("title").agg(F.min("id").alias("rep")).select("rep", "title", F.length("title").alias("n")), "titles")
+    # From this length on, a title has more grams of four letters than can be broken.
+    long_from = LONG_GRAM / (1 - _broken(r, LONG_GRAM)) if _broken(r, LONG_GRAM) < 1 else math.inf
+    near = _candidates(kinds.where(F.col("n") < long_from * (2 - r) / r), r, 2) if math.isfinite(long_from) else _candidates(kinds, r, 2)
+    if math.isfinite(long_from):
+        near = near.unionByName(_candidates(kinds.where(F.col("n") >= long_from), r, LONG_GRAM)).distinct()
+    near = saved(near, "title-candidates")
+    texts = kinds.select("rep", "title", "n")
+    both = near.join(texts, "rep").join(texts.select(F.col("rep").alias("rep2"), F.col("title").alias("title2"), F.col("n").alias("n2")), "rep2")
     bound = F.floor(F.lit(1 - r + 1e-9) * (F.col("n") + F.col("n2"))).cast("int")
-    near = prefix.join(other, "g").where((F.col("rep") < F.col("rep2")) & band).select("rep", "title", "rep2", "title2", bound.alias("bound")).distinct()
-    near = near.where(F.expr("levenshtein(title, title2, bound)") >= 0)
-    pairs = near.withColumn("ratio", _ratio("title", "title2")).where(F.col("ratio") >= min_ratio).select("rep", "rep2", "ratio")
+    both = both.select("rep", "rep2", "title", "title2", bound.alias("bound")).where(F.expr("levenshtein(title, title2, bound)") >= 0)
+    pairs = both.withColumn("ratio", _ratio("title", "title2")).where(F.col("ratio") >= min_ratio).select("rep", "rep2", "ratio")
     # Each distinct title stands for all its ids.
-    members = unique.join(kinds, "title").select("rep", "id")
+    members = unique.join(kinds.select("rep", "title"), "title").select("rep", "id")
     across = pairs.join(members.withColumnRenamed("id", "x"), "rep").join(members.select(F.col("rep").alias("rep2"), F.col("id").alias("y")), "rep2")
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio")
     same = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("ratio"))
