@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the five ASCII control characters 09-0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Largest number of slim rows (ids, digests, small sums) that is broadcast; above it the join is shuffled.
-BROADCAST_ROWS = 500_000
+#: Largest number of rows, and of bytes in their strings, that are broadcast; above them the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 
 #: Rows in a batch between the JVM and Python: whole texts are long, and both sides hold a batch or two per task.
@@ -27,9 +27,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local folder in local mode; on a
+    cluster, whose machines do not share local folders, it must be set, and RuntimeError says so."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -57,8 +60,12 @@ def discard(df: DataFrame) -> None:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, with a broadcast hint only if its counted rows are at most limit. df should be a saved() table, so that counting reads metadata only."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df, with a broadcast hint only if its counted rows are at most limit, and the bytes of its strings at most BROADCAST_BYTES. df
+    should be a saved() table: rows are then counted from metadata, and only strings are read."""
+    if df.count() > limit:
+        return df
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return F.broadcast(df) if not texts or (df.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

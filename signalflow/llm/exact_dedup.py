@@ -166,6 +166,5 @@ def without_copies(documents: DataFrame, keep: str = "largest") -> DataFrame:
     all stay, since nothing tells them apart."""
     groups = exact_groups(documents, keep).where("not kept").select("doc_id", F.unhex("text_sha256").alias("__sf_digest"))
     gone = small(saved(groups.withColumnRenamed("doc_id", "__sf_id").distinct(), "copies"))
-    tagged = documents.withColumn("__sf_digest", text_digest(F.col("text")))
-    same = (tagged["__sf_digest"] == gone["__sf_digest"]) & tagged["doc_id"].eqNullSafe(gone["__sf_id"])
-    return tagged.join(gone, same, "left_anti").select(*documents.columns)
+    same = (text_digest(documents["text"]) == gone["__sf_digest"]) & documents["doc_id"].eqNullSafe(gone["__sf_id"])
+    return documents.join(gone, same, "left_anti")

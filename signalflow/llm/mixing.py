@@ -224,8 +224,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
 
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken; columns as in documents."""
-    taken = mix(documents, weights).where("copies > 0").select("place", "copies").distinct()
-    place = document_place()
-    counted = saved(taken, "mix-taken")
-    joined = documents.withColumn("__sf_place", place).join(small(counted.withColumnRenamed("place", "__sf_place").withColumnRenamed("copies", "__sf_copies")), "__sf_place")
-    return joined.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__sf_copies"))).alias("__sf_copy")).drop("__sf_copy")
+    taken = small(saved(mix(documents, weights).where("copies > 0").select(F.col("place").alias("__sf_place"), F.col("copies").alias("__sf_copies")).distinct(), "mix-taken"))
+    joined = documents.join(taken, document_place() == taken["__sf_place"])
+    copy = "__sf_copy"
+    while copy in documents.columns:
+        copy += "_"
+    return joined.select(*[documents[c] for c in documents.columns], F.explode(F.sequence(F.lit(1), taken["__sf_copies"])).alias(copy)).drop(copy)

@@ -198,6 +198,5 @@ def good_documents(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """documents that are kept; columns as before. The verdict depends on the text alone, so it is joined by id and text."""
     verdict = judged(documents, threshold).where("not kept").select(F.col("doc_id").alias("__sf_id"), F.col("row_hash").alias("__sf_row")).distinct()
     gone = small(saved(verdict, "rejected"))
-    tagged = documents.withColumn("__sf_hash", F.xxhash64("text"))
-    same = tagged["doc_id"].eqNullSafe(gone["__sf_id"]) & (tagged["__sf_hash"] == gone["__sf_row"])
-    return tagged.join(gone, same, "left_anti").select(*documents.columns)
+    same = documents["doc_id"].eqNullSafe(gone["__sf_id"]) & (F.xxhash64(documents["text"]) == gone["__sf_row"])
+    return documents.join(gone, same, "left_anti")

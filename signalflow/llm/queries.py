@@ -194,7 +194,8 @@ OP10_SQL = r"""
 WITH c AS (
   SELECT page_id, url, date_add(DATE '2023-01-01', to_days(CAST((page_id * 37) % 365 AS INTEGER)))::DATE AS fetch_date,
          nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
-         regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS page
+         lower(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '/$', ''), '^[^/?]*(?://[^/?]*)?'))
+         || regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '/$', ''), '^[^/?]*(?://[^/?]*)?', '') AS page
   FROM pages),
 h AS (SELECT DISTINCT host AS pattern, CAST('0x' || substr(md5(host), 1, 7) AS INTEGER) AS n FROM c WHERE host IS NOT NULL),
 dom AS (SELECT DISTINCT array_to_string(string_split(pattern, '.')[-3:], '.') AS pattern FROM h),
@@ -204,7 +205,7 @@ e AS (
   UNION ALL SELECT 'hosts-' || (n % 3), 'host', pattern, 'remove', n % 300 + 20 + (n // 1000) % 100 FROM h WHERE n % 4 <> 0
   UNION ALL SELECT 'hosts-' || (n % 3), 'host', pattern, 'add', n % 300 + 150 FROM h WHERE n % 5 = 0
   UNION ALL SELECT 'domains', 'domain', pattern, 'add', n % 365 FROM domn WHERE n % 6 = 0
-  UNION ALL SELECT 'pages', 'url', lower(page), 'add', page_id % 365 FROM c WHERE page_id % 7 = 0 AND url IS NOT NULL),
+  UNION ALL SELECT 'pages', 'url', page, 'add', page_id % 365 FROM c WHERE page_id % 7 = 0 AND url IS NOT NULL),
 daily AS (SELECT list, kind, pattern, day, max(action = 'remove') AS removed FROM e GROUP BY 1, 2, 3, 4),
 i AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS until FROM daily),
 v AS (
@@ -212,7 +213,7 @@ v AS (
 hit AS (
   SELECT c.page_id, v.list, v.valid_from FROM c JOIN v ON v.kind = 'host' AND v.pattern = c.host AND v.valid_from <= c.fetch_date AND (v.valid_to IS NULL OR c.fetch_date < v.valid_to)
   UNION ALL
-  SELECT c.page_id, v.list, v.valid_from FROM c JOIN v ON v.kind = 'url' AND v.pattern = lower(c.page) AND v.valid_from <= c.fetch_date AND (v.valid_to IS NULL OR c.fetch_date < v.valid_to)
+  SELECT c.page_id, v.list, v.valid_from FROM c JOIN v ON v.kind = 'url' AND v.pattern = c.page AND v.valid_from <= c.fetch_date AND (v.valid_to IS NULL OR c.fetch_date < v.valid_to)
   UNION ALL
   SELECT c.page_id, v.list, v.valid_from FROM c JOIN v ON v.kind = 'domain' AND (v.pattern = c.host OR ends_with(c.host, '.' || v.pattern))
     AND v.valid_from <= c.fetch_date AND (v.valid_to IS NULL OR c.fetch_date < v.valid_to)),

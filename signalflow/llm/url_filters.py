@@ -18,8 +18,10 @@ def host_of(url: Column) -> Column:
 
 
 def page_of(url: Column) -> Column:
-    """A URL without its fragment, and without a slash at its end."""
-    return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/$", "")
+    """A URL without its fragment, and without a slash at its end; scheme and host are in lower case, its path stays as it is."""
+    page = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/$", "")
+    start = F.regexp_extract(page, "^[^/?]*(?://[^/?]*)?", 0)
+    return F.concat(F.lower(start), F.substr(page, F.length(start) + 1))
 
 
 def listed_intervals(entries: DataFrame) -> DataFrame:
@@ -31,7 +33,8 @@ def listed_intervals(entries: DataFrame) -> DataFrame:
     time. Rows with a null, and actions other than these two, are left out; repeated rows count once.
     """
     known = entries.where("list is not null and kind is not null and pattern is not null and entry_date is not null and action in ('add', 'remove')")
-    daily = known.groupBy("list", "kind", F.lower("pattern").alias("pattern"), "entry_date").agg(F.max(F.col("action") == "remove").alias("removed"))
+    pattern = F.when(F.col("kind") == "url", page_of(F.col("pattern"))).otherwise(F.lower("pattern"))
+    daily = known.groupBy("list", "kind", pattern.alias("pattern"), "entry_date").agg(F.max(F.col("action") == "remove").alias("removed"))
     changes = Window.partitionBy("list", "kind", "pattern").orderBy("entry_date")
     return daily.select("*", F.lead("entry_date").over(changes).alias("valid_to")).where("not removed").select(
         "list", "kind", "pattern", F.col("entry_date").alias("valid_from"), "valid_to"
@@ -46,7 +49,7 @@ def _keys(url: Column) -> Column:
     starts = F.when(deep, F.sequence(F.lit(1), F.size(labels) - 1))
     domains = F.transform(starts, lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     one = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("pattern")))
-    found = F.flatten(F.array_compact(F.array(one("host", host), domains, one("url", F.lower(page_of(url))))))
+    found = F.flatten(F.array_compact(F.array(one("host", host), domains, one("url", page_of(url)))))
     return F.filter(found, lambda k: k["pattern"].isNotNull())
 
 
@@ -55,8 +58,8 @@ def judge_captures(captures: DataFrame, intervals: DataFrame) -> DataFrame:
 
     captures: page_id, url, fetch_date; intervals: as from listed_intervals(). Every capture's keys meet the intervals by
     equality, and the dates decide (valid_from <= fetch_date < valid_to), so a capture meets at most one interval of each
-    list and key; a host with a third of all captures is joined by broadcast, or where the lists are too many for that, in
-    parts. Returns page_id, blocked, lists (sorted, joined by commas; null if none) and since (the earliest valid_from that
+    list and key. The intervals are broadcast if their counted rows and bytes are few; else the join is shuffled, and Spark's
+    adaptive skew join splits the partition of a host that has a third of all captures. Returns page_id, blocked, lists (sorted, joined by commas; null if none) and since (the earliest valid_from that
     holds; null if none). A null url or fetch_date is never blocked; repeated rows are judged each; an empty table gives
     no rows.
     """
@@ -79,4 +82,6 @@ def _judged(captures: DataFrame, intervals: DataFrame) -> DataFrame:
 def allowed(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     """captures that no list held when they were fetched; columns as before."""
     judged = _judged(captures, intervals).where("lists is not null").select(F.col("row").alias("__sf_row")).distinct()
-    return captures.withColumn("__sf_row", _row()).join(small(saved(judged, "blocked")), "__sf_row", "left_anti").select(*captures.columns)
+    gone = small(saved(judged, "blocked"))
+    same = F.xxhash64(captures["page_id"], captures["url"].cast("string"), captures["fetch_date"]) == gone["__sf_row"]
+    return captures.join(gone, same, "left_anti")

@@ -74,7 +74,7 @@ def test_edge_cases(edge, empty):
     assert mixing.mix(empty).count() == 0
     mixed = mixing.mixed_documents(edge)
     assert mixed.columns == edge.columns
-    assert {r["size"] for r in mixed.collect()} <= {"clash"}
+    assert {(r["size"], r["__sf_place"], r["__sf_copy"]) for r in mixed.collect()} <= {("clash", "own", "own")}
 
 
 def test_capped_sources(spark):

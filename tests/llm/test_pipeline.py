@@ -23,3 +23,13 @@ def test_stages(spark, sf_dir, docs):
     for r in packed:
         starts[r.doc_id] += r.piece == 0
     assert dict(starts) == copies
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, edge, empty):
+    for table in (edge, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, sf_dir)
+            assert out.columns == table.columns
+            out.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, table, sf_dir)
+        assert packed.where("piece = 0").count() == table.count()
