@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder (spark.checkpoint.dir, or a new local one where it is unset) and read it back."""
+    """Write df to the shared folder (spark.checkpoint.dir) and read it back. Where that is unset, a new local folder is used in local
+    mode; on a cluster, whose machines do not share local folders, RuntimeError asks for it."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"

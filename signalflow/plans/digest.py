@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
@@ -67,9 +67,9 @@ def best_action(scores: DataFrame) -> DataFrame:
 
 def blocks(top: DataFrame, scores: DataFrame) -> DataFrame:
     """One text block per selected event, with its place."""
-    ranks = top.orderBy(F.desc("max_alert"), F.desc("max_relevance"), F.desc("max_actionability"), F.desc("recency_at"), "event_id")
-    numbered = ranks.agg(F.collect_list(F.struct("event_id", "title", "category", "canonical_url", "alerted_before")).alias("x")).select(F.posexplode("x").alias("pos", "e"))
-    rows = numbered.select((F.col("pos") + 1).alias("place"), "e.*").join(best_action(scores), "event_id", "left")
+    # top has a digest's few events, so one task numbers them.
+    place = F.row_number().over(Window.orderBy(F.desc("max_alert"), F.desc("max_relevance"), F.desc("max_actionability"), F.desc("recency_at"), "event_id"))
+    rows = top.select(place.alias("place"), "event_id", "title", "category", "canonical_url", "alerted_before").join(best_action(scores), "event_id", "left")
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("<b>"), F.col("place").cast("string"), F.lit(". "), T.html_escape(F.col("title")), F.lit("</b>")),

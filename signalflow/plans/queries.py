@@ -13,7 +13,7 @@ from ..operators import analysis, evidence, prefilter, similarity
 from ..sources import adapters as A
 from ..sources import config as C
 from ..sources import pages as P
-from . import digest, health, reports
+from . import alerts, digest, health, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -191,6 +191,25 @@ def alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.reserve_alerts(due, _alerts(spark, sf_dir))
 
 
+@_query
+def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of all events whose alerts are due, with fixed sentences in place of generated ones."""
+    due = _outcomes(spark, sf_dir).where("alerts")
+    first = A.articles(spark, sf_dir).groupBy("event_id").agg(F.min_by(F.struct("source_trust", "source_is_primary", "canonical_url"), "article_id").alias("a"))
+    e = due.join(first, "event_id").select(
+        "event_id", "title", "confidence", "hype", "a.source_is_primary", (F.col("a.source_trust") < 60).alias("source_requires_primary"), "a.canonical_url",
+        F.concat(F.lit("<"), F.col("title"), F.lit(">")).alias("what_happened"), F.lit("It's new & matters").alias("why_it_matters"),
+    )
+    icons = spark.createDataFrame([(p[0], p[3]) for p in C.SAMPLE_PROFILES], "profile_id int, icon string")
+    s = A.event_scores(spark, sf_dir).where("enabled").join(F.broadcast(icons), "profile_id").withColumn("reason", F.concat(F.lit("fits "), F.col("slug")))
+    return alerts.alert_messages(e, s)
+
+
+@_query
+def run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.run_detail(A.events(spark, sf_dir), 50).select("event_id", "status", epoch("last_seen_at"))
+
+
 @_query
 def high_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.high_signal(A.events(spark, sf_dir), A.event_scores(spark, sf_dir), A.articles(spark, sf_dir), A.as_of()).select("event_id", "max_alert", "top_profile", epoch("recency_at"))

@@ -145,6 +145,11 @@ def run_events(runs: DataFrame, events: DataFrame, scores: DataFrame, run_no: in
     return out.limit(limit) if limit else out
 
 
+def run_detail(events: DataFrame, run_no: int) -> DataFrame:
+    """The events that a run analyzed, those seen last first; event_id decides between equals."""
+    return events.where(F.col("analyzed_run_no") == run_no).orderBy(F.desc_nulls_last("last_seen_at"), "event_id")
+
+
 def lineage(records: DataFrame, articles: DataFrame, events: DataFrame, sources: DataFrame) -> DataFrame:
     """Every record (ordinal, article_id, source_name, decision) with its article, event and source, as far as there are any."""
     a = articles.select("article_id", "event_id", F.col("canonical_url").alias("article_url"), "source_id")
