@@ -6,8 +6,11 @@ relations between sets:
 * equal sets are one class before anything else, however many rows share it;
 * sets are ordered by one global order of their n-grams (frequent ones last), and only as many leading ones are indexed
   as a partner must share one of (prefix filter);
-* in an index list, entries carry their set's size and the n-gram's position; a whole stretch of the list is skipped when
-  size and position leave too few n-grams for the threshold;
+* n-grams whose lists turn out long, counted over the whole index, go last too, and sets that had them in front are indexed
+  again; moving an n-gram back changes no other set's leading ones, so the order stays one order;
+* index lists are stored in blocks by size, class and position. A block carries its smallest set and the largest set that
+  its positions still allow as a partner; two blocks of a list whose bounds exclude each other, or which hold one class
+  only, are skipped without a look at their entries;
 * answers of a highly similar set are reused: in each list every set is first checked against one leader. Sets that are
   linked to the leader, directly or through others, have the leader's class; only list entries whose classes still
   differ after that are compared with each other. Inside a class nothing is compared any more, so a group of any size
@@ -32,8 +35,10 @@ PERCENT, WORDS = 80, 5
 #: N-grams found this often within some hundred texts are candidates for the list of frequent ones.
 LOCAL_REPEATS = 3
 #: N-grams counted at least this often go last in the global order; of more than FREQUENT_ROWS, the most frequent ones do.
-#: Any order gives the same links: this list only keeps index lists short.
-FREQUENT_COUNT, FREQUENT_ROWS = 48, 200_000
+#: Any order gives the same links: this list only keeps index lists short, and so do the rounds of counting whole lists.
+FREQUENT_COUNT, FREQUENT_ROWS, ORDER_ROUNDS = 48, 200_000, 2
+#: Entries in a block of an index list, and the blocks of one list that a task compares with all its others.
+BLOCK, BLOCKS_A_TASK = 128, 32
 #: Rounds of comparing list entries with leaders before classes are compared.
 LEADER_ROUNDS = 2
 #: Entries of one class in a list from which on the class is large, and the number of its representatives there.
@@ -122,6 +127,68 @@ def _pair_bounds(percent: int) -> dict[str, Column]:
     }
 
 
+def _long_lists_last(entries: DataFrame, lists: DataFrame, last: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame] | None:
+    """The frequent n-grams with those of long lists put after all others, and the rows whose leading ones change by that; None if
+    there are none. Places that were given stay, so all other rows keep their entries."""
+    tokens, place = last
+    room = FREQUENT_ROWS - len(tokens)
+    known = saved(entries.sparkSession.createDataFrame(pa.table({"token": pa.array(tokens, pa.int64())})), "frequent")
+    long = lists.where(F.col("c") >= FREQUENT_COUNT).join(small(known), "token", "left_anti")
+    long = saved(long.orderBy(F.desc("c"), "token").limit(max(room, 0)).select("token", "c"), "long-lists")
+    more = long.orderBy("c", "token").toPandas()["token"].to_numpy(np.int64)
+    if not len(more):
+        return None
+    tokens = np.concatenate((tokens, more))
+    place = np.concatenate((place, np.arange(len(more)) + place.max(initial=0) + 1))
+    order = np.argsort(tokens)
+    return (tokens[order], place[order]), saved(entries.join(small(long.select("token")), "token", "left_semi").select("row").distinct(), "reordered")
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    """Index lists (token, c entries) that hold more than one set."""
+    return saved(entries.groupBy("token").agg(F.count("*").alias("c"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("token", "c"), "lists")
+
+
+def _met(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (src, dst) of sets of different labels that meet in a list (token, set, n, at, label) and pass the bounds there.
+
+    Lists are cut by sizes into bands, so that linked sets are in one band or in neighbouring ones, and a band into blocks of about
+    BLOCK entries: a label with many entries has blocks of its own, the others go by position. Blocks of one list meet by their
+    summaries; only pairs of blocks that can hold a linked pair are opened. The blocks of a long list are dealt over several tasks.
+    """
+    # Sizes of linked sets differ by a factor of 100 / percent at most; bands are a little wider, against rounding.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent)))
+    # The largest partner that leaves need <= n - at n-grams, see _pair_bounds.
+    reach = F.expr(f"((n - at) * {100 + percent}) div {percent} - n")
+    listed = mixed.select("token", "set", "n", "at", "label", band.alias("band"), reach.alias("reach"))
+    large = saved(listed.groupBy("token", "band", "label").agg(F.count("*").alias("own")).where(F.col("own") >= BLOCK), "large-labels")
+    listed = listed.join(small(large), ["token", "band", "label"], "left")
+    crowded = saved(listed.where("own is null").groupBy("token", "band").agg(F.count("*").alias("rest")).where(F.col("rest") > BLOCK), "long-bands")
+    listed = listed.join(small(crowded), ["token", "band"], "left")
+    cuts = F.ceil(F.coalesce("own", "rest", F.lit(1)) / BLOCK).cast("int")
+    where = F.when(cuts > 1, F.expr("(16L * at) div n")).otherwise(0).cast("int")
+    name = F.struct(F.when(F.col("own").isNotNull(), F.col("label")).otherwise(0).alias("a"), F.col("own").isNotNull().alias("b"), where.alias("c"), F.pmod(F.xxhash64("set"), cuts).alias("d"))
+    blocks = listed.groupBy("token", "band", name.alias("block")).agg(
+        F.collect_list(F.struct("set", "n", "at", "label")).alias("entries"), F.min("n").alias("least"), F.max("reach").alias("reach"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    blocks = saved(blocks, "list-blocks")
+    spread = saved(blocks.groupBy("token").agg(F.ceil(F.count("*") / BLOCKS_A_TASK).cast("int").alias("slots")).where("slots > 1"), "long-lists")
+    blocks = blocks.join(small(spread), "token", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    left = blocks.select("token", "slots", F.col("band").alias("band1"), F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("block").alias("block1"), F.col("entries").alias("e1"),
+        F.col("least").alias("least1"), F.col("reach").alias("reach1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    left = left.withColumn("slot", F.pmod(F.xxhash64("block1"), F.col("slots")).cast("int")).drop("slots")
+    right = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")).drop("slots")
+    opened = left.join(right, ["token", "band", "slot"]).where("band1 < band or block1 <= block").where("least <= reach1 and least1 <= reach and not (lo = hi and lo1 = hi1 and lo = lo1)")
+    one = opened.select("entries", F.explode("e1").alias("x"))
+    pairs = one.select("x", F.explode("entries").alias("y")).select(
+        F.col("x.set").alias("set"), F.col("x.n").alias("n"), F.col("x.at").alias("at"), F.col("x.label").alias("label"),
+        F.col("y.set").alias("set2"), F.col("y.n").alias("n2"), F.col("y.at").alias("at2"), F.col("y.label").alias("label2"),
+    )
+    bounds = _pair_bounds(percent)
+    pairs = pairs.where((F.col("label") != F.col("label2")) & bounds["sizes"] & bounds["place"])
+    return pairs.select(F.least("set", "set2").alias("src"), F.greatest("set", "set2").alias("dst")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (src, dst) whose sets reach the threshold, by their whole sets."""
     left = sets.select(F.col("set").alias("src"), F.col("grams").alias("a"))
@@ -138,7 +205,7 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
     nothing. Returns one row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach) and
     set_copies (rows with the same set). Rows with a null doc_id get component_id null and link nothing; rows that repeat
     a doc_id are sets of their own. Whole texts are used; an empty table gives no rows; other columns are ignored. N-grams
-    are compared by 64-bit hashes.
+    are compared by 64-bit hashes, whole sets by 128 bits and their size.
     """
     small_batches(documents.sparkSession)
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
@@ -146,12 +213,15 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
         source.mapInArrow(partial(_digests, n=words), "doc_id long, row_hash long, n int, d1 long, d2 long, token long, seen int"),
         "set-digests",
     )
-    # Equal sets are one vertex; set = hash of the digest. The row with the smallest id stands for it.
-    rows = scanned.where("n is not null").select("doc_id", "row_hash", "n", F.xxhash64("n", "d1", "d2").alias("set"))
+    # Equal sets are one vertex. The row with the smallest id stands for it, by its doc_id if no other row has that one.
+    digest = ["n", "d1", "d2"]
+    rows = scanned.where("n is not null").select("doc_id", "row_hash", *digest)
     known = rows.where("doc_id is not null and n > 0")
     classes = saved(
-        known.groupBy("set").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.count("*").alias("set_copies")), "set-classes"
+        known.groupBy(*digest).agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.count("*").alias("set_copies")), "set-classes"
     )
+    again = saved(classes.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.count("*").alias("times")).where("times > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    vertex = F.when(F.col("again"), F.xxhash64("doc_id", "row_hash")).otherwise(F.col("doc_id"))
     frequent = (
         scanned.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT_COUNT)
         .orderBy(F.desc("seen"), "token").limit(FREQUENT_ROWS).toPandas()
@@ -161,20 +231,28 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
     last = (tokens[order], (len(tokens) - np.arange(len(tokens)))[order])
     # All rows but the first of each set are left out; these are few, or else the join is shuffled.
     others = saved(
-        known.join(classes.where("set_copies > 1").select("set", "first"), "set")
+        known.join(classes.where("set_copies > 1").select(*digest, "first"), digest)
         .where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash"))))
         .select("doc_id", "row_hash").distinct(),
         "set-copies",
     )
     firsts = source.where("doc_id is not null").join(small(others), ["doc_id", "row_hash"], "left_anti")
-    keyed = firsts.withColumn("row", F.xxhash64("doc_id", "row_hash"))
-    entries = keyed.select("row", "text").mapInArrow(partial(_prefixes, n=words, percent=percent, frequent=last), "token long, row long, n int, at int")
+    keyed = firsts.join(small(again), "doc_id", "left").select(vertex.alias("row"), "text")
+    indexed = lambda texts, last: texts.mapInArrow(partial(_prefixes, n=words, percent=percent, frequent=last), "token long, row long, n int, at int")
+    entries = saved(indexed(keyed, last), "set-entries")
+    lists = _counted(entries)
+    for _ in range(ORDER_ROUNDS):
+        changed = _long_lists_last(entries, lists, last)
+        if changed is None:
+            break
+        last, moved = changed[0], small(changed[1])
+        old = entries
+        entries = saved(old.join(moved, "row", "left_anti").unionByName(indexed(keyed.join(moved, "row", "left_semi"), last)), "set-entries")
+        discard(old)
+        lists = _counted(entries)
     # Lists with one set only link nothing.
-    lists = Window.partitionBy("token")
-    index = saved(
-        entries.select("*", F.min("row").over(lists).alias("lo"), F.max("row").over(lists).alias("hi")).where("lo <> hi").select("token", F.col("row").alias("set"), "n", "at"),
-        "set-index",
-    )
+    index = saved(entries.join(lists, "token").select("token", F.col("row").alias("set"), "n", "at"), "set-index")
+    discard(entries)
     bounds = _pair_bounds(percent)
 
     prefixes = saved(index.groupBy("set", "n").agg(F.collect_list("token").alias("grams")), "prefixes")
@@ -193,7 +271,7 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
     def leader_pairs(mixed: DataFrame) -> DataFrame:
         """Each list's entries with the list's leader; the same sets lead many lists, so near copies meet few leaders."""
         rank = F.struct((-F.col("central")).alias("c"), F.xxhash64("set").alias("h"), "set", "n", "at")
-        led = mixed.select("*", F.min(rank).over(lists).alias("l")).where("set <> l.set")
+        led = mixed.join(mixed.groupBy("token").agg(F.min(rank).alias("l")), "token").where("set <> l.set")
         led = led.select("set", "n", "at", F.col("l.set").alias("set2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2")).where(bounds["sizes"])
         counted = led.select(*ends, F.greatest("n", "n2").alias("n"), F.least("n", "n2").alias("n2"), bounds["place"].alias("place"))
         counted = counted.groupBy("src", "dst", "n", "n2").agg(F.count("*").alias("lists"), F.max("place").alias("place"))
@@ -205,7 +283,8 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
         lists with it: most sets that belong to the class join it here, and need not meet its other members."""
         same = Window.partitionBy("token", "label")
         picked = F.row_number().over(same.orderBy(F.desc("central"), F.xxhash64("set", F.lit(turn))))
-        chosen = mixed.select("*", F.count("*").over(same).alias("size"), picked.alias("k")).where(f"size >= {LARGE_CLASS} and k <= {LARGE_CLASS}")
+        large = mixed.groupBy("token", "label").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE_CLASS)
+        chosen = mixed.select("*", picked.alias("k")).where(F.col("k") <= LARGE_CLASS).join(large, ["token", "label"])
         chosen = chosen.select(F.col("token").alias("token2"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
         met = mixed.join(chosen, (F.col("token") == F.col("token2")) & (F.col("label") != F.col("label2")) & bounds["sizes"] & bounds["place"])
         met = met.groupBy(*ends, F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")).agg(F.count("*").alias("lists"))
@@ -224,20 +303,18 @@ def link_classes(documents: DataFrame, percent: int = PERCENT, words: int = WORD
             break
         labels = saved(components(links), "leader-classes")
         labelled = mixed.drop("label").join(labels.select(F.col("id").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        labelled = labelled.select("*", F.min("label").over(lists).alias("lo"), F.max("label").over(lists).alias("hi"))
-        mixed = saved(labelled.where("lo <> hi").select("token", "set", "n", "at", "central", "label"), "mixed-lists")
-    other = mixed.select("token", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
-    met = mixed.join(other, (mixed["token"] == other["token"]) & (F.col("label") < F.col("label2")) & bounds["sizes"] & bounds["place"])
-    open_pairs = screened(met.select(*ends).distinct().join(checked, ["src", "dst"], "left_anti"))
+        several = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        mixed = saved(labelled.join(several, "token").select("token", "set", "n", "at", "central", "label"), "mixed-lists")
+    open_pairs = screened(_met(mixed, percent).join(checked, ["src", "dst"], "left_anti"))
     open_pairs = saved(open_pairs, "open-pairs")
     more = saved(_verified(open_pairs, _sets_of(keyed, open_pairs, words), percent), "links")
     final = components(links.unionAll(more))
     # row -> set of equal texts, and the smallest doc_id of each component.
-    first_row = F.xxhash64("first.doc_id", "first.row_hash")
-    named = classes.select("set", "set_copies", F.col("first.doc_id").alias("doc"), first_row.alias("id")).join(final, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = classes.select(*digest, "set_copies", "first.doc_id", "first.row_hash").join(small(again), "doc_id", "left").withColumn("id", vertex).withColumnRenamed("doc_id", "doc")
+    named = named.join(final, "id", "left").withColumn("label", F.coalesce("label", "id"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    per_set = saved(named.join(smallest, "label").select("set", "set_copies", "component_id"), "set-components")
-    out = rows.join(per_set, "set", "left")
+    per_set = saved(named.join(smallest, "label").select(*digest, "set_copies", "component_id"), "set-components")
+    out = rows.join(per_set, digest, "left")
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),

@@ -182,3 +182,36 @@ def test_positions_in_very_long_texts():
         for at in (b, b + k - 1):
             assert c == at + int(np.argmin(grams[at : at + 32]))
     assert count.sum() == n - 31 and chosen.max() > 1 << 24
+
+
+@pytest.mark.parametrize("block, task", [(2, 2), (5, 1), (128, 32)])
+def test_blocks_of_lists_skip_no_pair(spark, monkeypatch, block, task):
+    """Long and short lists, large and small labels: whatever the blocks, all pairs within the bounds meet."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCKS_A_TASK", task)
+    rng = np.random.default_rng(5)
+    size, label = rng.integers(4, 80, 60), rng.integers(0, 12, 60) % 7
+    rows = []
+    for token, share in ((1, 1.0), (2, 0.5), (3, 0.1), (4, 0.1)):
+        for i in np.flatnonzero(rng.random(60) < share):
+            n = int(size[i])
+            rows.append((token, int(i), n, int(rng.integers(0, n - -(-80 * n // 100) + 1)), int(label[i])))
+    want = set()
+    for t, i, n, at, a in rows:
+        for t2, j, n2, at2, b in rows:
+            need = -(-80 * (n + n2) // 180)
+            if t == t2 and i < j and a != b and min(n, n2) >= need and min(n - at, n2 - at2) >= need:
+                want.add((i, j))
+    mixed = spark.createDataFrame(rows, "token long, set long, n int, at int, label long")
+    got = [tuple(r) for r in ngram_join._met(mixed, 80).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_long_lists_go_last(spark, monkeypatch):
+    """A passage that one text of each batch holds is found by its long lists; classes stay right."""
+    monkeypatch.setattr(ngram_join, "FREQUENT_COUNT", 6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(70)) + " " + passage) for i in range(30)] + [(100, passage + " end"), (101, passage)]
+    rows += [(i + 200, t + " more") for i, t in rows[:10]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_classes(frame).collect()), key=str) == brute_classes(rows)
