@@ -278,6 +278,29 @@ LEFT JOIN art a USING (article_id) LEFT JOIN ev e ON e.event_id = a.event_id LEF
     "digest_profile_counts": _with(*_ALL, DIGEST) + "SELECT name, count(*) AS n FROM sc JOIN top USING (event_id) WHERE enabled AND (relevance_score >= 50 OR alert_score >= 50) GROUP BY 1",
     "digest_actions": _with(*_ALL, DIGEST) + f"""
 SELECT {_LABELS} AS label, max(actionability_score) AS actionability FROM sc JOIN top USING (event_id) WHERE enabled AND suggested_action IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3""",
+    "digest_messages": _with(*_ALL, DIGEST).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+,
+newest AS (SELECT event_id, canonical_url, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(published_at, discovered_at) DESC, article_id DESC) AS r
+  FROM art WHERE coalesce(published_at, discovered_at) BETWEEN {NOW} - INTERVAL 240 HOUR AND {NOW}),
+act AS (SELECT event_id, {_LABELS} AS action, row_number() OVER (PARTITION BY event_id ORDER BY actionability_score DESC, profile_id) AS r FROM sc WHERE enabled),
+numbered AS (SELECT *, row_number() OVER (ORDER BY max_alert DESC, max_relevance DESC, max_actionability DESC, recency_at DESC, event_id) AS place FROM top),
+bl AS (SELECT place, concat_ws(chr(10), '<b>' || place || '. ' || {_escaped('t.title')} || '</b>', category, CASE WHEN alerted_before THEN 'alerted before' END, action,
+    '<a href="' || {_escaped('canonical_url')} || '">source</a>') AS body
+  FROM numbered t JOIN newest n ON n.event_id = t.event_id AND n.r = 1 LEFT JOIN act a ON a.event_id = t.event_id AND a.r = 1),
+sep AS (SELECT chr(10) || chr(10) || repeat('━', 18) || chr(10) || chr(10) AS s),
+pk AS (
+  SELECT place, CAST(1 AS INTEGER) AS part, body FROM bl WHERE place = 1
+  UNION ALL
+  SELECT b.place, CASE WHEN length(pk.body || s || b.body) <= 3750 THEN part ELSE part + 1 END, CASE WHEN length(pk.body || s || b.body) <= 3750 THEN pk.body || s || b.body ELSE b.body END
+  FROM pk JOIN bl b ON b.place = pk.place + 1, sep)
+SELECT 'now' AS digest_id, part, '<b>DIGEST' || CASE WHEN max(part) OVER () > 1 THEN ' (' || part || '/' || max(part) OVER () || ')' ELSE '' END || '</b>' || chr(10) || chr(10) || body AS text
+FROM (SELECT part, arg_max(body, place) AS body FROM pk GROUP BY part)""",
+    "page_items": r"""
+WITH t AS (
+  SELECT page_id, page_id % 41 = 0 AS failed,
+    trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS source_id, CASE WHEN NOT failed AND title <> '' THEN 0 END AS position, CASE WHEN NOT failed AND title <> '' THEN title END AS title,
+  CASE WHEN failed THEN 'HTTP_ERROR' WHEN title = '' THEN 'EMPTY' END AS error FROM t""",
     "event_actions": _with(*_ALL) + f"""
 SELECT event_id, {_LABELS} AS action FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY actionability_score DESC, profile_id) AS r FROM sc WHERE enabled) WHERE r = 1""",
     "anchor_contradictions": """

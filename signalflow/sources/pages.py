@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -37,6 +40,21 @@ LAYOUTS: dict[str, Layout] = {
 }
 
 
+@dataclass(frozen=True)
+class Sections:
+    """Pages whose items stand side by side under headings. dates: the tag of headings with an id, by whose id or text the items
+    after them are dated; item: the tag of an item, a heading with an id of its own or a list entry; ends: tags that end an
+    item's text."""
+
+    dates: str = "h2"
+    item: str = "h3"
+    ends: tuple[str, ...] = ("hr",)
+
+
+#: Layouts of headings by name.
+SECTIONS: dict[str, Sections] = {"dated-headings": Sections(), "dated-lists": Sections(item="li", ends=())}
+
+
 @dataclass
 class _Item:
     depth: int
@@ -97,8 +115,102 @@ class _Reader(HTMLParser):
             self.now = None
 
 
-def page_items(body: str | None, base: str, layout: Layout) -> list[dict]:
-    """Items of one page, in order: item_url, title, summary and published_at as text. Items without a title are left out."""
+@dataclass
+class _Entry:
+    anchor: str
+    date: str | None
+    title: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)
+    href: str | None = None
+
+
+class _SectionReader(HTMLParser):
+    """Collects entries between headings; lists within an entry belong to it."""
+
+    def __init__(self, layout: Sections):
+        super().__init__(convert_charrefs=True)
+        self.layout, self.lists = layout, layout.item == "li"
+        self.items, self.now, self.section, self.heading, self.reads = [], None, None, [], None
+        self.count = self.depth = self.hidden = 0
+
+    def _date(self) -> str | None:
+        found = re.search(r"\d{4}-\d{2}-\d{2}", self.section or "")
+        return found.group() if found else " ".join(" ".join(self.heading).split()) or None
+
+    def _end(self) -> None:
+        if self.now is not None:
+            self.items.append(self.now)
+        self.now, self.depth = None, 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = dict(attrs)
+        if tag in ("script", "style"):
+            self.hidden += 1
+        if tag == self.layout.dates:
+            self._end()
+            self.section, self.heading, self.count, self.reads = a.get("id"), [], 0, "date"
+        elif tag == self.layout.item and self.section is not None:
+            if not self.lists:
+                self._end()
+                if a.get("id"):
+                    self.now, self.reads = _Entry(a["id"], self._date()), "title"
+            elif self.now is None:
+                self.count += 1
+                self.now, self.depth = _Entry(f"{self.section}-{self.count}", self._date()), 1
+            else:
+                self.depth += 1
+        elif tag in self.layout.ends:
+            self._end()
+        elif self.now is not None and self.lists:
+            if tag == "strong" and not self.now.title:
+                self.reads = "title"
+            if tag == "a" and self.now.href is None and a.get("href"):
+                self.now.href = a["href"]
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self.hidden = max(0, self.hidden - 1)
+        if tag == self.layout.dates or tag == ("strong" if self.lists else self.layout.item):
+            self.reads = None
+        elif tag == "li" and self.lists and self.now is not None:
+            self.depth -= 1
+            if self.depth == 0:
+                self._end()
+
+    def handle_data(self, data: str) -> None:
+        if self.hidden:
+            return
+        if self.reads == "date":
+            self.heading.append(data)
+        elif self.now is not None:
+            if self.reads == "title":
+                self.now.title.append(data)
+            if self.reads != "title" or self.lists:
+                self.now.text.append(data)
+
+    def close(self) -> None:
+        super().close()
+        self._end()
+
+
+def _section_items(body: str, base: str, layout: Sections) -> list[dict]:
+    reader = _SectionReader(layout)
+    reader.feed(body)
+    reader.close()
+    out = []
+    for e in reader.items:
+        title, text = (" ".join(" ".join(x).split()) for x in (e.title, e.text))
+        if title or text:
+            url = urljoin(base, e.href) if e.href else f"{base}#{e.anchor}"
+            out.append({"item_url": url, "title": title, "summary": text, "published_at": e.date})
+    return out
+
+
+def page_items(body: str | None, base: str, layout: Layout | Sections) -> list[dict]:
+    """Items of one page, in order: item_url, title, summary and published_at as text. Items without a title are left out, those
+    under headings only if they have no text either."""
+    if isinstance(layout, Sections):
+        return _section_items(body or "", base, layout)
     reader = _Reader(layout)
     reader.feed(body or "")
     reader.close()
@@ -118,7 +230,8 @@ def page_items(body: str | None, base: str, layout: Layout) -> list[dict]:
 
 def extract(pages: DataFrame, layout: str | None = None) -> DataFrame:
     """Items of pages (source_id, url, body, http_status; layout: a column, unless given). A page with another status than 200, an
-    unknown layout, or no items gives one row with an error and no item; null bodies are empty. Other pages are not affected."""
+    unknown layout, or no items gives one row with an error and no item; null bodies are empty. Other pages are not affected.
+    Items without a title take the first sentence of their text."""
     rows = pages.select("source_id", "url", "body", "http_status", (F.lit(layout) if layout else F.col("layout")).alias("layout"))
     schema = "source_id string, url string, position int, item_url string, title string, summary string, published_at string, error string"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -130,10 +243,10 @@ def extract(pages: DataFrame, layout: str | None = None) -> DataFrame:
                 error, items = None, []
                 if r.http_status != 200:
                     error = "HTTP_ERROR"
-                elif r.layout not in LAYOUTS:
+                elif r.layout not in LAYOUTS and r.layout not in SECTIONS:
                     error = "PARSE_ERROR"
                 else:
-                    items = page_items(r.body, r.url or "", LAYOUTS[r.layout])
+                    items = page_items(r.body, r.url or "", LAYOUTS.get(r.layout) or SECTIONS[r.layout])
                     error = None if items else "EMPTY"
                 out += [(r.source_id, r.url, i, x["item_url"], x["title"], x["summary"], x["published_at"], None) for i, x in enumerate(items)]
                 if error:
@@ -141,4 +254,5 @@ def extract(pages: DataFrame, layout: str | None = None) -> DataFrame:
             frame = pd.DataFrame(out, columns=names).astype(object)
             yield frame.where(frame.notna(), None).astype({"position": "Int32"})
 
-    return rows.mapInPandas(read, schema)
+    items = rows.mapInPandas(read, schema)
+    return items.withColumn("title", F.when(F.col("title") == "", T.first_sentence(F.col("summary"))).otherwise(F.col("title")))

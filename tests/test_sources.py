@@ -60,6 +60,23 @@ def test_page_layouts(spark):
     assert sorted((r.source_id, r.title, r.error) for r in got) == [("a", "One & two", None), ("b", None, "HTTP_ERROR"), ("c", None, "EMPTY"), ("d", None, "PARSE_ERROR"), ("e", "cut", None)]
 
 
+def test_pages_of_dated_headings(spark):
+    lists = '<h2>no id</h2><ul><li>skipped</li></ul><h2 id="may">May 2, 2024</h2><p>intro</p><ul><li><strong>Fast</strong> mode <ul><li>inner</li></ul> is <a href="/x">here</a></li><li>Second one. More.</li></ul><h2 id="b">2024-04-01</h2><li>cut'
+    assert pages.page_items(lists, "http://h/log", pages.SECTIONS["dated-lists"]) == [
+        {"item_url": "http://h/x", "title": "Fast", "summary": "Fast mode inner is here", "published_at": "May 2, 2024"},
+        {"item_url": "http://h/log#may-2", "title": "", "summary": "Second one. More.", "published_at": "May 2, 2024"},
+        {"item_url": "http://h/log#b-1", "title": "", "summary": "cut", "published_at": "2024-04-01"},
+    ]
+    heads = '<h3 id="early">no date yet</h3><h2 id="date-2024-03-01">Version</h2><h3 id="v2">V 2 &amp; on</h3><p>first</p><script>no</script><p>next</p><hr><p>after</p><h3>none</h3><p>x</p><h3 id="v1">V 1</h3><h2>end</h2><p>y</p>'
+    assert pages.page_items(heads, "http://h/log", pages.SECTIONS["dated-headings"]) == [
+        {"item_url": "http://h/log#v2", "title": "V 2 & on", "summary": "first next", "published_at": "2024-03-01"},
+        {"item_url": "http://h/log#v1", "title": "V 1", "summary": "", "published_at": "2024-03-01"},
+    ]
+    rows = [("a", "http://h/log", lists, 200, "dated-lists"), ("b", "http://h/log", "<h2>x</h2>", 200, "dated-headings")]
+    got = pages.extract(spark.createDataFrame(rows, "source_id string, url string, body string, http_status int, layout string")).collect()
+    assert sorted((r.source_id, r.position, r.title, r.error) for r in got if r.position != 2) == [("a", 0, "Fast", None), ("a", 1, "Second one.", None), ("b", None, None, "EMPTY")]
+
+
 def test_anchor_contradictions(spark):
     cases = [
         ("GPT-4 is out", "", None, "x", "about gpt-4", []), ("GPT-4 is out", "", None, "x", "about gpt-5 and gpt-4", ["gpt-5"]), ("nothing named", "", None, "x", "about gpt-5", []),
