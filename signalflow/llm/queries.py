@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, resampling, suffix_dedup, token_counts, toxicity, url_filters, warc
+from . import exact_dedup, mixing, ngram_join, packing, quality, resampling, suffix_dedup, token_counts, toxicity, url_filters, vector_codes, warc
 from .common import new_path, saved
 
 
@@ -120,12 +120,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_captures(captures, intervals)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op8_word_byte_counts, op9_toxicity, op10_url_filters, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op8_word_byte_counts, op9_toxicity, op10_url_filters, op11_vector_codes, op13_importance_resampling)}
 
 
 _SIZES = r"""
@@ -231,6 +235,32 @@ SELECT d.doc_id, g.keep_id, g.group_size, coalesce(d.doc_id = g.keep_id, g.keep_
 FROM documents d JOIN groups g ON coalesce(d.text, '') = g.t"""
 
 
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every part against every entry in each round, a WITH clause a step."""
+    gap = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        "whole AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"cut AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM whole, range({parts}) r(p))",
+        f"seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM whole QUALIFY e < {entries})",
+        "book0 AS MATERIALIZED (SELECT p, e, x AS c FROM cut JOIN seeds USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS MATERIALIZED (SELECT vec_id, label, p, min(struct_pack(gap := {gap}, e := e)) AS best, any_value(x) AS x FROM cut JOIN book{r} USING (p) GROUP BY 1, 2, 3)")
+        if r < rounds:
+            steps.append(
+                f"sums{r} AS (SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, best.e AS e, x, unnest(range(1, len(x) + 1)) AS i FROM near{r}) GROUP BY 1, 2, 3), "
+                f"moved{r} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM sums{r} GROUP BY 1, 2), "
+                f"book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM book{r} LEFT JOIN moved{r} USING (p, e))"
+            )
+    return (
+        "WITH " + ",\n".join(steps) + f",\ncodes AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.gap) AS BIGINT) AS error FROM near{rounds} GROUP BY 1, 2)"
+        f"\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM codes"
+    )
+
+
 #: CRC-32 byte after byte over hexadecimal digits of each distinct word, whole sums, and ranks by one sort.
 OP13_SQL = r"""
 WITH words AS (
@@ -259,4 +289,4 @@ FROM scored s LEFT JOIN places p USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_word_byte_counts": OP8_SQL, "op10_url_filters": OP10_SQL, "op13_importance_resampling": OP13_SQL}
+    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_word_byte_counts": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_importance_resampling": OP13_SQL}
