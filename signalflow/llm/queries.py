@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, resampling, suffix_dedup, token_counts, toxicity, url_filters, vector_codes, warc
+from . import exact_dedup, mixing, ngram_join, packing, quality, resampling, sanitising, suffix_dedup, token_counts, toxicity, url_filters, vector_codes, warc
 from .common import new_path, saved
 
 
@@ -124,12 +124,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_pii_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitising.span_columns(sanitising.personal_spans(_table(spark, sf_dir, "documents")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op8_word_byte_counts, op9_toxicity, op10_url_filters, op11_vector_codes, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_source_mix, op2_ngram_jaccard, op3_pattern_packing, op4_exact_dedup, op5_suffix_dedup, op6_warc, op7_quality_rules, op8_token_counts, op8_word_byte_counts, op9_toxicity, op10_url_filters, op11_vector_codes, op12_pii_sanitising, op13_importance_resampling)}
 
 
 _SIZES = r"""
@@ -261,6 +265,55 @@ def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     )
 
 
+def _op12_sql() -> str:
+    """Plain patterns with running sums of lengths, and terms with counts over all places of all texts."""
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({digits}), i + 1, 1) AS INTEGER) ELSE CAST(substr(reverse({digits}), i + 1, 1) AS INTEGER) * 2 % 10 + CAST(substr(reverse({digits}), i + 1, 1) AS INTEGER) // 5 END)) % 10 = 0"
+    kinds = {
+        "email": (email, "true", "lower(v)"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0", "v"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN {luhn} ELSE false END", digits),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15", digits),
+    }
+    found, near = [], []
+    for o, (kind, (pattern, holds, name)) in enumerate(kinds.items()):
+        cut = lambda t: f"SELECT r, unnest(m) AS v, unnest(g[1:len(m)]) AS before, unnest(g[2:]) AS after, generate_subscripts(m, 1) AS i FROM (SELECT r, regexp_extract_all({t}, '{pattern}') AS m, string_split_regex({t}, '{pattern}') AS g FROM d)"  # noqa: B023, E731
+        found.append(f"SELECT r, {o} AS o, '{kind}' AS kind, upto - length(v) AS a, upto AS b FROM (SELECT r, v, sum(length(before) + length(v)) OVER (PARTITION BY r ORDER BY i) AS upto FROM ({cut('t')})) WHERE {holds}")
+        sides = "CASE WHEN length(before) > 100 THEN regexp_replace(right(before, 100), '^\\p{L}+', '') ELSE before END || ' ' || CASE WHEN length(after) > 100 THEN regexp_replace(left(after, 100), '\\p{L}+$', '') ELSE after END"
+        near.append(f"SELECT '{kind}' AS kind, {name} AS entity, {sides} AS around FROM ({cut('t' if kind == 'email' else 'plain')}) WHERE {holds}")
+    share = lambda beside, everywhere: f"1 + log2(least(1.0::DOUBLE, {beside} / CAST({everywhere} AS DOUBLE))) / log2(positions / CAST(cover AS DOUBLE))"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{email}', ' ', 'g') AS plain FROM documents),
+spans AS MATERIALIZED ({" UNION ALL ".join(found)}),
+mentions AS ({" UNION ALL ".join(near)}),
+words AS MATERIALIZED (SELECT r, lower(unnest(regexp_extract_all(plain, '\p{{L}}{{4,}}'))) AS term FROM d),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS positions FROM words),
+terms AS (SELECT term, count(*) AS everywhere FROM words GROUP BY 1),
+pairs AS (
+  SELECT term, kind, entity, count(*) AS beside, count(DISTINCT around) AS places
+  FROM (SELECT kind, entity, around, lower(unnest(regexp_extract_all(around, '\p{{L}}{{4,}}'))) AS term FROM mentions) GROUP BY 1, 2, 3),
+covers AS (SELECT kind, entity, sum(beside) AS cover FROM pairs GROUP BY 1, 2),
+flagged AS MATERIALIZED (
+  SELECT DISTINCT term FROM pairs JOIN covers USING (kind, entity) JOIN terms USING (term) CROSS JOIN total
+  WHERE places >= 2 AND positions > cover AND {share("beside", "everywhere")} >= 0.9),
+parts AS (
+  SELECT r, unnest(m) AS v, unnest(g[1:len(m)]) AS before, generate_subscripts(m, 1) AS i
+  FROM (SELECT r, regexp_extract_all(t, '{email}|\p{{L}}{{4,}}') AS m, string_split_regex(t, '{email}|\p{{L}}{{4,}}') AS g FROM d WHERE r IN (SELECT r FROM words JOIN flagged USING (term)))),
+hits AS (
+  SELECT r, 4 AS o, 'term' AS kind, upto - length(v) AS a, upto AS b FROM (SELECT r, v, sum(length(before) + length(v)) OVER (PARTITION BY r ORDER BY i) AS upto FROM parts)
+  WHERE NOT contains(v, '@') AND lower(v) IN (SELECT term FROM flagged)),
+every AS (SELECT * FROM spans UNION ALL SELECT * FROM hits),
+rows AS (
+  SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         count(*) FILTER (kind = 'term') AS n_term, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY o, a) FILTER (o < 4) AS base,
+         string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY o, a) AS spans
+  FROM every GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_term, 0) AS n_term,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN rows USING (r)"""
+
+
 #: CRC-32 byte after byte over hexadecimal digits of each distinct word, whole sums, and ranks by one sort.
 OP13_SQL = r"""
 WITH words AS (
@@ -289,4 +342,4 @@ FROM scored s LEFT JOIN places p USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_word_byte_counts": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_importance_resampling": OP13_SQL}
+    return {"op1_source_mix": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_word_byte_counts": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_pii_sanitising": _op12_sql(), "op13_importance_resampling": OP13_SQL}
