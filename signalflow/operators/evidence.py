@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .prefilter import outside_lookback
-from .similarity import MIN_RATIO, leaders, similar_titles
+from .similarity import MIN_RATIO, leaders, title_groups, title_pairs
 from .tables import saved
 
 #: How far a source type is preferred as primary source.
@@ -57,19 +57,34 @@ def resolve_events(candidates: DataFrame, stored: DataFrame, as_of: Column, min_
     first = c.where(F.col("ordinal") == F.col("content_first")).join(hashes, "content_hash", "left").withColumn("content_event", F.when(F.col("_n") >= MIN_CONTENT, F.col("content_event")))
     first = saved(first, "content-firsts")
     live = stored.where(F.col("first_seen_at") >= as_of - F.expr(f"INTERVAL {MATCH_DAYS} DAYS"))
-    open_items = first.where("content_event is null").select(F.col("ordinal").alias("id"), F.col("normalized_title").alias("title"))
-    names = open_items.unionByName(live.select(F.col("event_no").alias("id"), F.col("normalized_title").alias("title")))
-    # Stored events do not join each other.
-    pairs = saved(similar_titles(names, min_ratio).select("a", "b").where("b >= 0"), "title-pairs")
-    stored_model = live.select(F.col("event_no").alias("id"), T.model_identity(F.coalesce(F.nullif("subject_name", F.lit("")), "title")).alias("model"))
-    own_model = first.where("content_event is null and exact_model_id is not null").select(F.col("ordinal").alias("id"), T.model_identity(F.col("exact_model_id")).alias("model"))
-    new_model = first.where("content_event is null").select(F.col("ordinal").alias("id"), T.model_identity(F.col("title")).alias("model"))
-    targets = stored_model.unionByName(new_model).where("model is not null")
-    same_model = saved(own_model.where("model is not null").withColumnRenamed("id", "b").join(targets.withColumnRenamed("id", "a"), "model").where("a < b").select("a", "b"), "model-pairs")
-    led = leaders(names.select("id"), pairs.unionByName(same_model))
-    heads = led.where("id = leader").select(F.col("id").alias("a"))
-    by_model = same_model.join(heads, "a").groupBy("b").agg(F.min("a").alias("model_leader"))
-    placed = first.join(led, F.col("ordinal") == F.col("id"), "left").join(by_model, F.col("ordinal") == F.col("b"), "left")
+    stored_model = live.select(F.col("event_no").alias("a"), T.model_identity(F.coalesce(F.nullif("subject_name", F.lit("")), "title")).alias("model"))
+    # Candidates of one title, one own model and one model of their title do the same, so the first of them stands for all.
+    items = first.where("content_event is null").select(
+        "ordinal", F.col("normalized_title").alias("name"), F.coalesce("normalized_title", F.concat(F.lit("#"), F.col("ordinal").cast("string"))).alias("kind"),
+        F.when(F.col("exact_model_id").isNotNull(), T.model_identity(F.col("exact_model_id"))).alias("own"), T.model_identity(F.col("title")).alias("model"),
+    )
+    classes = saved(items.groupBy("kind", "own", "model").agg(F.min("ordinal").alias("id"), F.first("name").alias("name")), "candidate-classes")
+    named = classes.select("id", F.col("name").alias("title")).unionByName(title_groups(live.select(F.col("event_no").alias("id"), F.col("normalized_title").alias("title"))).withColumnRenamed("rep", "id"))
+    named = saved(named.where("title is not null"), "class-titles")
+    groups = saved(title_groups(named), "class-groups")
+    member = named.join(groups, "title").select("id", "rep")
+    by_title = title_pairs(groups, min_ratio).select("rep", "rep2").unionByName(groups.select("rep", F.col("rep").alias("rep2")))
+    across = by_title.join(member.withColumnRenamed("id", "x"), "rep").join(member.select(F.col("id").alias("y"), F.col("rep").alias("rep2")), "rep2").where("x <> y")
+    # Stored events do not join each other; of those of one model only the first can lead.
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("b >= 0")
+    first_stored = stored_model.where("model is not null").groupBy("model").agg(F.min("a").alias("a"))
+    targets = first_stored.unionByName(classes.where("model is not null").select("model", F.col("id").alias("a")))
+    same_model = classes.where("own is not null").select(F.col("id").alias("b"), F.col("own").alias("model")).join(targets, "model").where("a < b").select("a", "b")
+    nodes = classes.select("id").unionByName(named.where("id < 0").select("id")).unionByName(first_stored.select(F.col("a").alias("id"))).distinct()
+    led = saved(leaders(nodes, pairs.unionByName(same_model)), "led-classes")
+    heads = led.where("id = leader").join(classes.select("id", "model"), "id").select("model", F.col("id").alias("a"))
+    model_head = first_stored.unionByName(heads.where("model is not null")).groupBy("model").agg(F.min("a").alias("head"))
+    classed = classes.join(led, "id").join(model_head.withColumnRenamed("model", "own"), "own", "left").select("kind", "own", "model", "leader", "id", "head")
+    same_class = (items["kind"] == classed["kind"]) & items["own"].eqNullSafe(classed["own"]) & items["model"].eqNullSafe(classed["model"])
+    led_items = items.join(classed, same_class).select(
+        F.col("ordinal").alias("_item"), F.col("leader").alias("leader"), F.when(F.col("head") < F.col("ordinal"), F.col("head")).alias("model_leader")
+    )
+    placed = first.join(led_items, F.col("ordinal") == F.col("_item"), "left")
     leader = F.coalesce("content_event", F.when(F.col("leader") != F.col("ordinal"), F.coalesce("model_leader", "leader")), "ordinal")
     by = F.when(F.col("content_event").isNotNull(), "content").when(leader == F.col("ordinal"), "new").when(F.col("model_leader").isNotNull(), "model").otherwise("title")
     decided = placed.select(F.col("ordinal").alias("content_first"), leader.alias("leader"), by.alias("by"))

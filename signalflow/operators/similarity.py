@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -16,6 +17,10 @@ from .tables import saved
 MIN_RATIO = 88.0
 #: Letters of the grams that longer titles are joined on.
 LONG_GRAM = 4
+#: Of the grams that a similar title can't break, the share that is asked for among the rarest ones, by letters of a gram.
+ASKED = {2: 0.25, 4: 0.3}
+#: Classes of letters, and of grams of two letters, whose numbers are compared.
+PROFILES = {1: 32, 2: 64}
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -51,55 +56,85 @@ def _broken(r: float, q: int) -> float:
 
 
 def _grams(titles: DataFrame, q: int) -> DataFrame:
-    """rep, n, i (place) and g for each q-gram; equal ones of a title are told apart by their number of occurrence."""
-    each = titles.where(F.length("title") >= q).select("rep", "n", "title", F.explode(F.sequence(F.lit(1), F.length("title") - q + 1)).alias("i"))
-    each = each.select("rep", "n", "i", F.substr("title", "i", F.lit(q)).alias("g"))
-    return each.select("rep", "n", "i", F.xxhash64("g", F.row_number().over(W.partitionBy("rep", "g").orderBy("i"))).alias("g"))
+    """rep, n, i (place) and g for each q-gram."""
+    each = titles.where(F.col("n") >= q).select("rep", "n", "title", F.explode(F.sequence(F.lit(1), F.col("n") - (q - 1))).alias("i"))
+    return each.select("rep", "n", "i", F.xxhash64(F.substr("title", "i", F.lit(q))).alias("g"))
 
 
-def _candidates(titles: DataFrame, r: float, q: int) -> DataFrame:
-    """Pairs (rep, rep2) of titles (rep, title, n) that share one of the rarest q-grams at places, and have lengths, that the
-    ratio allows.
+def _profile(titles: DataFrame, q: int) -> DataFrame:
+    """titles with how many of its q-grams are in each class, in four 64-bit words named by q: PROFILES[q] classes, each as many bits,
+    numbers that do not fit at their largest."""
+    bits, name = 256 // PROFILES[q], "p" + str(q) + "_"
+    each = titles.where(F.col("n") >= q).select("rep", F.explode(F.sequence(F.lit(1), F.col("n") - (q - 1))).alias("i"), "title").select("rep", F.substr("title", "i", F.lit(q)).alias("g"))
+    kind = F.pmod(F.ascii("g"), F.lit(PROFILES[q])) if q == 1 else F.pmod(F.xxhash64("g"), F.lit(PROFILES[q])).cast("int")
+    number = each.groupBy("rep", kind.alias("k")).agg(F.least(F.count("*"), F.lit((1 << bits) - 1)).cast("long").alias("m"))
+    place = F.expr(f"shiftleft(m, {bits} * (k % {64 // bits}))")
+    words = number.groupBy("rep").agg(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("k") / (64 // bits)) == w, place)), F.lit(0)).cast("long").alias(f"{name}{w}") for w in range(4)])
+    return titles.join(words, "rep", "left").na.fill(0, [f"{name}{w}" for w in range(4)])
+
+
+def _gap(q: int) -> Column:
+    """By how much the profiles of a pair, columns like p1_0 and the other's like p1_0_o, differ in all classes together."""
+    bits = 256 // PROFILES[q]
+    part = lambda c, i: F.shiftrightunsigned(F.col(c), bits * i).bitwiseAND(F.lit((1 << bits) - 1))
+    return reduce(lambda x, y: x + y, [F.abs(part(f"p{q}_{w}", i) - part(f"p{q}_{w}_o", i)) for w in range(4) for i in range(64 // bits)])
+
 
-    Two titles of ratio r share a q-gram among the rarest of each, one more than can be broken. The join's key has beside the
-    q-gram a band of lengths and a stretch of places, so that a frequent q-gram is split over many keys; each entry is looked for
-    in its own and the neighbouring bands and stretches. Only ids and numbers travel."""
+def _candidates(titles: DataFrame, r: float, q: int) -> DataFrame:
+    """Pairs (rep, rep2) of titles (rep, title, n and profiles) that share grams at places, and have lengths and letters,
+    that the ratio allows.
+
+    Of two titles of ratio r, the rarest q-grams of each, as many as can be broken and k more, have k at least in common at places that
+    the ratio allows: the common subsequence pairs those that are not broken, in the same order in both titles, so the k rarest of these
+    pairs are among the rarest of each. The join's key has beside the q-gram a band of lengths and a stretch of places,
+    so that a frequent q-gram is split over many keys; each entry is looked for in its own and the neighbouring bands and stretches.
+    Profiles travel with the entries and drop nearly all pairs where they meet: numbers of letters differ by no more than the letters
+    that the two do not share, and numbers of two letters by three times as many. Only ids and numbers travel."""
+    words = [f"p{k}_{w}" for k in PROFILES for w in range(4)]
     grams = _grams(titles, q)
     frequency = grams.groupBy("g").agg(F.count("*").alias("df"))
-    order = F.row_number().over(W.partitionBy("rep").orderBy("df", "g"))
-    prefix = grams.join(frequency, "g").select("*", order.alias("k")).where(F.col("k") <= F.floor(F.lit(_broken(r, q) + 1e-9) * F.col("n")) + 1)
+    order = F.row_number().over(W.partitionBy("rep").orderBy("df", "g", "i"))
+    broken = lambda n: F.floor(F.lit(_broken(r, q) + 1e-9) * n)
+    asked = lambda n: F.greatest(F.floor(F.lit(ASKED[q]) * (n - F.lit(q - 1) - broken(n))), F.lit(1))
+    profiles = titles.select("rep", *words)
+    prefix = grams.join(frequency, "g").select("*", order.alias("k")).where(F.col("k") <= broken(F.col("n")) + asked(F.col("n"))).join(profiles, "rep")
     step = (2 - r) / r  # a similar title is at most so many times as long
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + 1e-9).cast("int")
     # Places differ by the letters that one of the titles has more than the other up to there.
     shift = lambda b: F.ceil(F.lit(2 * (1 - r) / (2 - r)) * F.pow(F.lit(step), b + 1) + 1).cast("int")
-    here = prefix.select("rep", "n", "i", "g", band.alias("band"))
-    mine = here.select("rep", "n", "i", "g", "band", F.floor(F.col("i") / shift(F.col("band"))).cast("int").alias("at"))
+    here = prefix.select("rep", "n", "i", "g", band.alias("band"), *words)
+    mine = here.select("*", F.floor(F.col("i") / shift(F.col("band"))).cast("int").alias("at"))
     # An entry is entered in the bands of titles that are as long or shorter, in the stretches of those bands.
-    other = here.select(F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), "g", F.explode(F.sequence(F.col("band") - 1, F.col("band"))).alias("band"))
+    other = here.select(
+        F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), "g", F.explode(F.sequence(F.col("band") - 1, F.col("band"))).alias("band"), *[F.col(w).alias(w + "_o") for w in words]
+    )
     stretch = F.floor(F.col("i2") / shift(F.col("band"))).cast("int")
     other = other.select("*", F.explode(F.sequence(stretch - 1, stretch + 1)).alias("at"))
     lengths = F.lit(r) * (F.col("n") + F.col("n2")) <= 2 * F.col("n") + F.lit(1e-9)
     order_once = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") < F.col("rep2")))
-    places = F.abs(F.col("i") - F.col("i2")) <= F.lit(1 - r + 1e-9) * (F.col("n") + F.col("n2"))
-    met = mine.join(other, ["g", "band", "at"]).where(order_once & lengths & places)
-    return met.select(F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2")).distinct()
+    apart = F.lit(1 - r + 1e-9) * (F.col("n") + F.col("n2"))
+    places = F.abs(F.col("i") - F.col("i2")) <= apart
+    profiled = reduce(lambda x, y: x & y, [_gap(k) <= (2 * k - 1) * apart for k in PROFILES])
+    met = mine.join(other, ["g", "band", "at"]).where(order_once & lengths & places & profiled)
+    common = met.groupBy("rep", "rep2", "n", "n2").agg(F.count_distinct("i").alias("common")).where(F.col("common") >= F.least(asked(F.col("n")), asked(F.col("n2"))))
+    return common.select(F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2"))
 
 
-def similar_titles(titles: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """All pairs (a, b, ratio) of ids whose titles reach the ratio; a < b.
-
-    titles: id (orderable), title. Titles are joined on their rarest q-grams, as many as a similar title may lack and one more:
-    four letters where that leaves some of a title's, two letters for shorter titles and those that may be similar to them. A
-    bounded Levenshtein distance, never larger than the letters that two similar titles do not share, drops most pairs, and the
-    longest common subsequence decides the rest. Below a ratio of 0.86 the shortest titles need not share a gram of two letters.
-    Equal titles are one before the join; titles of less than two characters match only equal ones. Null titles match
-    nothing. Rows that repeat an id count once.
+def title_pairs(kinds: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """All pairs (rep, rep2, ratio) of distinct titles (rep: an id, title) that reach the ratio; rep < rep2.
+
+    Titles are joined on their rarest q-grams: four letters where those that can be broken leave some of a title's, two letters for
+    shorter titles and those that may be similar to them. A count of shared grams and profiles of letters leave few pairs; a bounded
+    Levenshtein distance, never larger than the letters that two similar titles do not share, drops most of these, and the longest
+    common subsequence decides the rest. Titles of less than two characters are similar to no other title.
     """
     if min_ratio < 86:
         raise ValueError("min_ratio must be at least 86")
     r = min_ratio / 100.0
-    unique = titles.where("title is not null and id is not null").dropDuplicates(["id"])
-    kinds = saved(unique.groupBy("title").agg(F.min("id").alias("rep")).select("rep", "title", F.length("title").alias("n")), "titles")
+    kinds = kinds.select("rep", "title", F.length("title").alias("n"))
+    for q in PROFILES:
+        kinds = _profile(kinds, q)
+    kinds = saved(kinds, "titles")
     # From this length on, a title has more grams of four letters than can be broken.
     long_from = LONG_GRAM / (1 - _broken(r, LONG_GRAM)) if _broken(r, LONG_GRAM) < 1 else math.inf
     near = _candidates(kinds.where(F.col("n") < long_from * (2 - r) / r), r, 2) if math.isfinite(long_from) else _candidates(kinds, r, 2)
@@ -110,13 +145,26 @@ def similar_titles(titles: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame
     both = near.join(texts, "rep").join(texts.select(F.col("rep").alias("rep2"), F.col("title").alias("title2"), F.col("n").alias("n2")), "rep2")
     bound = F.floor(F.lit(1 - r + 1e-9) * (F.col("n") + F.col("n2"))).cast("int")
     both = both.select("rep", "rep2", "title", "title2", bound.alias("bound")).where(F.expr("levenshtein(title, title2, bound)") >= 0)
-    pairs = both.withColumn("ratio", _ratio("title", "title2")).where(F.col("ratio") >= min_ratio).select("rep", "rep2", "ratio")
-    # Each distinct title stands for all its ids.
-    members = unique.join(kinds.select("rep", "title"), "title").select("rep", "id")
-    across = pairs.join(members.withColumnRenamed("id", "x"), "rep").join(members.select(F.col("rep").alias("rep2"), F.col("id").alias("y")), "rep2")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio")
-    same = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("ratio"))
-    return across.unionByName(same)
+    return both.withColumn("ratio", _ratio("title", "title2")).where(F.col("ratio") >= min_ratio).select("rep", "rep2", "ratio")
+
+
+def title_groups(titles: DataFrame) -> DataFrame:
+    """The smallest id of each title: (rep, title). Null titles and ids are left out, rows that repeat count once."""
+    return titles.where("title is not null and id is not null").groupBy("title").agg(F.min("id").alias("rep")).select("rep", "title")
+
+
+def similar_titles(titles: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """Pairs (a, b, ratio) of ids whose titles reach the ratio; a < b: between the smallest ids of two titles, and from the smallest id of a
+    title to each other id of it (ratio 100). So copies of a title are linked to it once each, not with all copies of similar titles.
+
+    titles: id (orderable), title. Below a ratio of 0.86 the shortest titles need not share a gram of two letters, so it is not allowed.
+    Null titles match nothing. Rows that repeat an id count once, with the first of its titles in order.
+    """
+    unique = titles.where("title is not null and id is not null").groupBy("id").agg(F.min("title").alias("title"))
+    kinds = saved(title_groups(unique), "title-groups")
+    pairs = title_pairs(kinds, min_ratio).select(F.col("rep").alias("a"), F.col("rep2").alias("b"), "ratio")
+    same = unique.join(kinds, "title").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("ratio"))
+    return pairs.unionByName(same)
 
 
 def leaders(items: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -128,8 +176,11 @@ def leaders(items: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFra
     """
     pairs = saved(pairs.select("a", "b").distinct(), "pairs")
     state = saved(items.select("id", F.lit(None).cast("boolean").alias("leads")), "leaders")
+    open_ = pairs
     for _ in range(max_rounds):
-        earlier = pairs.join(state.select(F.col("id").alias("a"), F.col("leads").alias("la")), "a").join(state.select(F.col("id").alias("b"), F.col("leads").alias("lb")), "b").where("lb is null")
+        earlier = open_.join(state.select(F.col("id").alias("a"), F.col("leads").alias("la")), "a").join(state.select(F.col("id").alias("b"), F.col("leads").alias("lb")), "b").where("lb is null")
+        earlier = saved(earlier, "undecided-pairs")
+        open_ = earlier.select("a", "b")
         seen = earlier.groupBy("b").agg(F.max(F.col("la").isNull()).alias("open"), F.max(F.coalesce("la", F.lit(False))).alias("led"))
         now = state.join(seen, F.col("id") == F.col("b"), "left").select(
             "id",

@@ -171,6 +171,24 @@ q AS (
       lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source')) AS kept FROM u)
 SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM q""",
     "normalized_titles": _with(CANDIDATES) + "SELECT ordinal, normalized_title FROM cand",
+    # Each pair of titles that lengths and numbers of letters allow, and its common subsequence letter by letter: a row of lengths for the
+    # first i letters of one title and each prefix of the other; places hold where a letter stands last up to there.
+    "similar_title_pairs": _with(CANDIDATES).replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT normalized_title AS t, min(ordinal) AS id, CAST(length(normalized_title) AS INTEGER) AS n FROM cand WHERE normalized_title IS NOT NULL GROUP BY 1 HAVING length(t) > 1),
+letters AS (SELECT id, c, count(*) AS m FROM (SELECT id, unnest(string_split(t, '')) AS c FROM k) GROUP BY 1, 2),
+able AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM letters x JOIN letters y ON x.c = y.c AND x.id < y.id JOIN k a ON a.id = x.id JOIN k b ON b.id = y.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 2 * sum(least(x.m, y.m)) >= 0.88 * (a.n + b.n)),
+places AS MATERIALIZED (
+  SELECT id, c, list_transform(range(1, n + 1), lambda j: CASE WHEN contains(left(t, j), c) THEN j + 1 - strpos(reverse(left(t, j)), c) ELSE 0 END) AS last
+  FROM letters JOIN k USING (id) WHERE id IN (SELECT b FROM able)),
+steps AS (
+  SELECT a, b, 0 AS i, list_transform(range(n), lambda j: CAST(0 AS BIGINT)) AS row FROM able JOIN k ON k.id = b
+  UNION ALL
+  SELECT s.a, s.b, s.i + 1, CASE WHEN p.c IS NULL THEN s.row ELSE list_transform(range(1, len(s.row) + 1),
+           lambda j: CASE WHEN p.last[j] = 0 THEN s.row[j] ELSE greatest(s.row[j], CASE WHEN p.last[j] = 1 THEN 0 ELSE s.row[p.last[j] - 1] END + 1) END) END
+  FROM steps s JOIN k ON k.id = s.a AND s.i < k.n LEFT JOIN places p ON p.id = s.b AND p.c = substr(k.t, s.i + 1, 1)),
+ended AS (SELECT s.a, s.b, 200.0::DOUBLE * s.row[-1] / (x.n + y.n) AS ratio FROM steps s JOIN k x ON x.id = s.a AND s.i = x.n JOIN k y ON y.id = s.b)
+SELECT a, b, ratio FROM ended WHERE ratio >= 88""",
     "first_sentence_titles": _with(CANDIDATES) + "SELECT ordinal, title FROM cand",
     "content_hash_dups": _with(CANDIDATES) + """
 SELECT ordinal, content_hash, f AS content_first, ordinal <> f AS is_copy FROM (

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from signalflow.functions import text as T
 from signalflow.operators import evidence, prefilter, similarity
 from signalflow.sources import adapters as A
 from signalflow.sources import config as C
@@ -55,7 +56,7 @@ def test_similar_titles_equal_all_pairs(spark, ratio):
             if a == b:
                 if first[a] == i:
                     want.add((i, j))
-            elif len(a) > 1 and len(b) > 1 and similarity.title_ratio(a, b) >= ratio:
+            elif first[a] == i and first[b] == j and len(a) > 1 and len(b) > 1 and similarity.title_ratio(a, b) >= ratio:
                 want.add((i, j))
     assert got == want
 
@@ -135,3 +136,33 @@ def test_config():
     with pytest.raises(ValueError):
         C.validated_profiles([(1, "a", "A", "", True, []), (2, "a", "B", "", True, [])], [])
     assert ("que", "0.20") in C.active_terms() and all(t != "the" for t, _ in C.active_terms())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_events_equal_the_loop(spark, seed):
+    """One candidate after the other, against all heads so far: equal content, then the own model, then similar titles."""
+    rng = random.Random(seed)
+    names = [t for t in variants() if len(t) > 2] + ["Qwen3 30B is out", "GLM-4.5 arrives", "qwen3 30b", "!!"]
+    models = [None] * 5 + ["Qwen/Qwen3-30B-FP8", "zai/GLM-4.5-FP8"]
+    rows = [(i, rng.choice(names), rng.choice(["short", f"a summary of more than forty letters that is number {rng.randrange(60)}"]), f"http://a/{i}", rng.choice(models)) for i in range(120)]
+    stored = spark.createDataFrame([(-1 - k, f"old{k}", names[3 * k], None, None, None, []) for k in range(6)], NONE).withColumn("normalized_title", T.normalized_title(F.col("title")))
+    stored = stored.withColumn("first_seen_at", A.as_of() - F.expr("INTERVAL 3 DAYS")).withColumn("content_hashes", F.array(F.sha2(F.lit("a summary of more than forty letters that is number 7"), 256)))
+    c = frame(spark, rows).withColumns({"own": T.model_identity(F.col("exact_model_id")), "model": T.model_identity(F.col("title"))})
+    heads = sorted((r.event_no, r.normalized_title, r.model) for r in stored.withColumn("model", T.model_identity(F.col("title"))).collect())
+    by_content = {r.content_hashes[0]: -6 for r in stored.collect()}
+    want = {}
+    for r in c.orderBy("ordinal").collect():
+        long = len(r.summary) >= 40
+        if long and r.content_hash in by_content:
+            want[r.ordinal] = (by_content[r.content_hash], "content")
+            continue
+        like = lambda t: t == r.normalized_title or (min(len(t), len(r.normalized_title)) > 1 and similarity.title_ratio(t, r.normalized_title) >= 88)  # noqa: B023, E731
+        by_model = [h for h, _, m in heads if r.own and m == r.own]
+        by_title = [h for h, t, _ in heads if like(t)]
+        want[r.ordinal] = (by_model[0], "model") if by_model else (by_title[0], "title") if by_title else (r.ordinal, "new")
+        if want[r.ordinal][1] == "new":
+            heads.append((r.ordinal, r.normalized_title, r.model))
+        if long:
+            by_content[r.content_hash] = want[r.ordinal][0]
+    got = {r.ordinal: (r.leader, r.by) for r in evidence.resolve_events(c.drop("own", "model"), stored, A.as_of()).collect()}
+    assert got == want
