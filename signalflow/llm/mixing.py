@@ -23,7 +23,8 @@ def word_count(text: Column) -> Column:
 
 
 def document_place() -> Column:
-    """A document's fixed place in 0 .. 2**60 - 1: the first 15 hex digits of a digest of its id, source and text."""
+    """A document's fixed place in 0 .. 2**60 - 1: the first 15 hex digits of a digest of its id, source and text. Places are told apart
+    within a source only: null and '' have the same ones."""
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")])
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
@@ -223,9 +224,11 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
 
 
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The documents of the mix, each repeated as often as it is taken; columns as in documents."""
-    taken = small(saved(mix(documents, weights).where("copies > 0").select(F.col("place").alias("__sf_place"), F.col("copies").alias("__sf_copies")).distinct(), "mix-taken"))
-    joined = documents.join(taken, document_place() == taken["__sf_place"])
+    """The documents of the mix, each repeated as often as it is taken; columns as in documents. Source and place name a document, null
+    and '' being two sources."""
+    chosen = mix(documents, weights).where("copies > 0").select(F.col("source").alias("__sf_source"), F.col("place").alias("__sf_place"), F.col("copies").alias("__sf_copies"))
+    taken = small(saved(chosen.distinct(), "mix-taken"))
+    joined = documents.join(taken, (document_place() == taken["__sf_place"]) & documents["source"].eqNullSafe(taken["__sf_source"]))
     copy = "__sf_copy"
     while copy in documents.columns:
         copy += "_"

@@ -81,3 +81,17 @@ def test_capped_sources(spark):
     frame = spark.createDataFrame([(1, "a b", "a"), (2, "a " * 100, "b"), (3, None, "c"), (4, "x y z", None)], "doc_id int, text string, source string")
     targets, taken, _ = check(frame, mixing.mix(frame))
     assert targets["a"] == 6.0 and targets["c"] == 0.0 and taken["a"] == 6
+
+
+def test_null_and_empty_sources_are_mixed_apart(spark):
+    """The same ids and texts under source null and under source '': each is repeated as often as its own source takes it."""
+    from collections import Counter
+
+    rows = [(i, "a b c d", s) for i in range(4) for s in (None, "")] + [(i, "x y z w", "b") for i in range(8)] + [(9, "p|q r", "c|d"), (9, "d|p|q r", "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    _, _, taken = check(frame, mixing.mix(frame))
+    want = Counter()
+    for r in taken:
+        want[r.doc_id, r.source] += r.copies
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed_documents(frame).collect())
+    assert got == +want and sum(n for (_, s), n in got.items() if s is None) != sum(n for (_, s), n in got.items() if s == "")
