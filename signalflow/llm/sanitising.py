@@ -154,13 +154,10 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, surroundings: int = SURR
     possible = often.join(cover, ["kind", "entity"]).join(seen, ["term", "kind"]).where(share(F.col("beside"), F.greatest(F.col("beside"), F.col("seen"))) >= disclosure)
     possible = saved(possible.select("term", "kind", "entity", "beside", "cover", F.left("term", F.lit(STEM)).alias("stem")), "possible-terms")
     wanted = small(saved(possible.select(F.explode(F.array("term", F.concat("stem", F.lit("*")))).alias("word")).distinct(), "wanted-words"))
-    forms = lambda words: F.flatten(F.array(F.transform(words, F.lower), F.transform(words, lambda w: F.concat(F.left(F.lower(w), F.lit(STEM)), F.lit("*")))))
-    # Keys and words are computed before the rows are multiplied.
-    words = texts.select(_row_key().alias("__key"), _terms(_without_emails(F.col("text"))).alias("words")).select("__key", F.explode(forms(F.col("words"))).alias("word"))
-    found = words.join(wanted, "word")
-    key = F.when(~F.col("word").endswith("*"), F.col("__key"))
-    places = saved(found.groupBy(key.alias("__key"), "word").agg(F.count("*").alias("n")), "places")
-    everywhere = places.groupBy("word").agg(F.sum("n").alias("n"))
+    # Words are taken from a text once, before the rows are multiplied; counts are added up within tasks before the shuffle.
+    plain = texts.select(_row_key().alias("__key"), F.transform(_terms(_without_emails(F.col("text"))), F.lower).alias("words"))
+    forms = F.concat("words", F.transform("words", lambda w: F.concat(F.left(w, F.lit(STEM)), F.lit("*"))))
+    everywhere = saved(plain.select(F.explode(forms).alias("word")).join(wanted, "word").groupBy("word").agg(F.count("*").alias("n")), "everywhere")
     flagged = possible.join(everywhere.select(F.col("word").alias("term"), F.col("n").alias("all")), "term").withColumn("share", share(F.col("beside"), F.col("all"))).where(F.col("share") >= disclosure)
     stems = pairs.groupBy(F.left("term", F.lit(STEM)).alias("stem"), "kind", "entity").agg(F.sum("beside").alias("beside"))
     general = flagged.select("term", "kind", "entity", "cover", "share", "stem").join(stems, ["stem", "kind", "entity"])
@@ -169,7 +166,8 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, surroundings: int = SURR
     worst = told.groupBy("term").agg(F.max(F.struct("share", "kind", "entity")).alias("worst"), F.max("open").alias("open"), F.first("stem").alias("stem"))
     put = F.when(F.col("open"), F.lit("[removed]")).otherwise(F.concat("stem", F.lit("\N{HORIZONTAL ELLIPSIS}")))
     terms = saved(worst.select("term", "worst.kind", "worst.entity", "worst.share", put.alias("put")), "terms")
-    rows = places.where("__key is not null").select("__key", F.col("word").alias("term")).join(small(terms.select("term", "put")), "term")
+    known = small(terms.select("term", "put"))
+    rows = plain.select("__key", F.explode(F.array_distinct("words")).alias("term")).join(known, "term")
     return terms, rows
 
 
