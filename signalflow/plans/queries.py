@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import analysis, evidence, prefilter, similarity
+from ..operators import analysis, evidence, intervals, prefilter, similarity, terms
 from ..sources import adapters as A
 from ..sources import config as C
 from ..sources import pages as P
@@ -76,6 +76,26 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefilter.with_keyword_score(_candidates(spark, sf_dir), C.active_terms()).select("ordinal", "keyword_score")
 
 
+@_query
+def many_term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of five letters or more of all titles as terms, looked for as parts of all candidates' texts."""
+    c = _candidates(spark, sf_dir).select(F.col("ordinal").alias("id"), "normalized_title", T.candidate_text(F.col("normalized_title"), F.col("summary")).alias("text"))
+    words = c.select(F.explode(F.split("normalized_title", " ")).alias("term")).where(F.length("term") >= 5).distinct()
+    weighed = words.withColumn("weight", ((F.length("term") % 5 + 1) / 1000).cast("decimal(10,4)"))
+    return terms.term_scores(c.select("id", "text"), weighed).select(F.col("id").alias("ordinal"), "n_terms", "keyword_score")
+
+
+@_query
+def errors_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the errors that its user had in the 14 days before: how many, the first and the last."""
+    e = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    errors = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("error_ts"))
+    bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    met = intervals.with_recent(bought, errors, ["user_id"], "ts", "error_ts", evidence.MATCH_DAYS).groupBy("event_id")
+    found = met.agg(F.count("*").alias("n_errors"), F.min_by("error_id", F.struct("error_ts", "error_id")).alias("first_error"), F.max_by("error_id", F.struct("error_ts", "error_id")).alias("last_error"))
+    return bought.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), "first_error", "last_error")
+
+
 @_query
 def prefilter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = prefilter.prefiltered(_candidates(spark, sf_dir), C.active_terms(), A.as_of(), hours=720, min_score=20)

@@ -197,6 +197,15 @@ SELECT ordinal, content_hash, f AS content_first, ordinal <> f AS is_copy FROM (
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'qwen-' || doc_id % 5 || '-' || (doc_id % 70 + 1) || 'b-instruct' WHEN 1 THEN 'glm-' || doc_id % 5 || '.5-' || (doc_id % 70 + 1) || 'b'
   WHEN 2 THEN 'deepseek-' || doc_id % 5 WHEN 3 THEN 'command-r+-' || (doc_id % 70 + 1) || 'b-chat' END AS identity FROM documents""",
     "keyword_scores": _with(CANDIDATES, SCORED) + "SELECT ordinal, keyword_score FROM kw",
+    "many_term_scores": _with(CANDIDATES) + """, x AS (SELECT ordinal, replace(normalized_title || ' ' || lower(summary), '_', ' ') AS t FROM cand),
+w AS (SELECT DISTINCT term, length(term) % 5 + 1 AS weight FROM (SELECT unnest(string_split(normalized_title, ' ')) AS term FROM cand) WHERE length(term) >= 5),
+h AS (SELECT ordinal, count(term) AS n_terms, CAST(coalesce(sum(weight), 0) * 30 AS BIGINT) AS s FROM x LEFT JOIN w ON contains(x.t, w.term) GROUP BY 1)
+SELECT ordinal, n_terms, CAST(least(100, s // 1000 + CASE WHEN s % 1000 > 500 OR (s % 1000 = 500 AND (s // 1000) % 2 = 1) THEN 1 ELSE 0 END) AS INTEGER) AS keyword_score FROM h""",
+    "errors_before_purchases": """
+SELECT p.event_id, count(e.event_id) AS n_errors, arg_min(e.event_id, (e.ts, e.event_id)) AS first_error, arg_max(e.event_id, (e.ts, e.event_id)) AS last_error
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') e ON e.user_id = p.user_id AND e.ts <= p.ts AND e.ts >= p.ts - INTERVAL 14 DAY
+GROUP BY 1""",
     "prefilter_decisions": _with(CANDIDATES, SCORED) + "SELECT ordinal, reason, primary_bypass FROM pre",
     "safety_flags": _with(CANDIDATES) + f"""
 SELECT ordinal, {_any('t', C.SAFETY_SIGNALS)} AND {_any('t', C.AUTHORITY_SIGNALS)} AS is_safety FROM (
