@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder (spark.checkpoint.dir) and read it back. Where that is unset, a new local folder is used in local
-    mode; on a cluster, whose machines do not share local folders, RuntimeError asks for it."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that nothing else uses, in the one that all machines share (spark.checkpoint.dir). Where that is unset, a new local one is
+    used in local mode; on a cluster, whose machines do not share local folders, RuntimeError asks for it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a new shared folder and read it back."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

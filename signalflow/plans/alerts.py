@@ -50,8 +50,8 @@ def alert_messages(events: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def append_decisions(decisions: DataFrame, path: str, decided_at: Column) -> None:
-    """Append decisions to the log under path, partitioned by day; a run that is repeated appends again, so readers take the last
-    row of a run and record."""
+    """Append decisions to the log under path, partitioned by day. A run that is repeated appends again; runs.write_log replaces
+    instead."""
     log = decisions.withColumn("decided_at", decided_at).withColumn("day", F.to_date("decided_at"))
     log.write.mode("append").partitionBy("day").parquet(path)
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators.tables import new_folder
 from ..operators import analysis, evidence, intervals, prefilter, similarity, terms
 from ..sources import adapters as A
 from ..sources import config as C
 from ..sources import pages as P
-from . import alerts, digest, health, reports
+from . import alerts, digest, health, reports, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -180,6 +181,24 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("discards", text)
 
 
+@_query
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all runs, counted from the log that they wrote: first with half of the rows each, as if they had failed, then again whole.
+    Calls and their usage follow from the candidates' numbers and the lengths of their texts."""
+    d, n = _decisions(spark, sf_dir), F.col("ordinal")
+    called = F.col("decision").isin(*runs.KEPT)
+    usage = d.select(
+        "run_no", "ordinal", "decision", "seen_article", "primary_bypass", called.alias("called"), (called & (n % 11 == 0)).alias("retried"), F.when(called & (n % 13 == 5), "invalid_response").alias("error"),
+        F.when(called, F.length("summary").cast("long")).alias("input_tokens"), F.when(called, n * 7 % 200).alias("output_tokens"), F.when(called, F.length("summary") * 3 + n * 7 % 200 * 15).alias("cost_micros"),
+        (called & (n % 13 != 5) & (n % 10 == 1)).alias("alerted"),
+    )
+    folder = new_folder(spark, "run-log")
+    runs.write_log(usage.where("ordinal % 2 = 0"), folder)
+    runs.write_log(usage, folder)
+    found = runs.records(spark.read.parquet(folder + "/decisions"), call_limit=2)
+    return found.withColumn("discards", F.array_join(F.transform(F.array_sort(F.map_entries("discards")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
 @_query
 def alert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.events(spark, sf_dir).select("event_id", "confidence", "hype")

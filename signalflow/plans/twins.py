@@ -226,6 +226,18 @@ SELECT run_no, CAST(sum(n) AS BIGINT) AS collected, CAST(sum(CASE WHEN decision
   CAST(sum(web) AS BIGINT) AS web_articles,
   coalesce(string_agg(CASE WHEN decision NOT IN ('analyze', 'pending_reanalysis', 'evidence_reanalysis') THEN decision || '=' || n END, ',' ORDER BY decision), '') AS discards
 FROM (SELECT run_no, decision, count(*) AS n, count(*) FILTER (WHERE primary_bypass) AS bypass, count(*) FILTER (WHERE source_type = 'web_articles') AS web FROM dec GROUP BY 1, 2) GROUP BY run_no""",
+    "run_records": _with(CANDIDATES, SCORED, TABLES, UPGRADES) + """, u AS (
+  SELECT d.run_no, d.ordinal, d.decision, d.primary_bypass, c.ordinal > min(c.ordinal) OVER (PARTITION BY c.canonical_url) AS seen, d.decision IN ('analyze', 'pending_reanalysis', 'evidence_reanalysis') AS called, length(c.summary) AS n
+  FROM dec d JOIN cand c USING (ordinal)),
+b AS (SELECT run_no, string_agg(decision || '=' || n, ',' ORDER BY decision) AS discards FROM (SELECT run_no, decision, count(*) AS n FROM u WHERE NOT called GROUP BY 1, 2) GROUP BY 1),
+r AS (
+  SELECT run_no, count(*) AS collected, count(*) FILTER (NOT seen) AS candidates_new, count(*) FILTER (decision = 'analyze') AS prefilter_passed, count(*) FILTER (decision = 'analyze' AND primary_bypass) AS primary_bypass_passed,
+    count(*) FILTER (decision = 'pending_reanalysis') AS pending_reanalysis, count(*) FILTER (decision = 'evidence_reanalysis') AS evidence_reanalysis, count(*) FILTER (called AND ordinal % 13 <> 5) AS analyzed,
+    count(*) FILTER (called) AS llm_calls, count(*) FILTER (called AND ordinal % 11 = 0) AS analysis_retries, count(*) FILTER (called AND ordinal % 13 <> 5 AND ordinal % 10 = 1) AS alerts_sent,
+    CAST(coalesce(sum(n) FILTER (called), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(ordinal * 7 % 200) FILTER (called), 0) AS BIGINT) AS output_tokens,
+    CAST(coalesce(sum(n * 3 + ordinal * 7 % 200 * 15) FILTER (called), 0) AS BIGINT) AS cost_micros, count(*) FILTER (called AND ordinal % 13 = 5) AS errors
+  FROM u GROUP BY 1)
+SELECT r.*, coalesce(discards, '') AS discards, llm_calls >= 2 AS call_limit_reached, CASE WHEN errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM r LEFT JOIN b USING (run_no)""",
     "alert_scores": _with(*_ALL) + """
 SELECT event_id, slug, CAST(v AS INTEGER) AS final_alert, CASE WHEN v >= 90 THEN 'CRITICAL' WHEN v >= 75 THEN 'RELEVANT' WHEN v >= 60 THEN 'INTERESTING' ELSE 'IGNORE' END AS category FROM (
   SELECT s.event_id, s.slug, greatest(0, least(100, round_even(s.alert_score * (0.75::DOUBLE + e.confidence * 0.25::DOUBLE) + (a.source_trust - 80) * 0.1::DOUBLE + CASE WHEN a.source_is_primary THEN 2 ELSE 0 END - e.hype * 20, 0))) AS v
