@@ -51,6 +51,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
 
+def _pieces_alone(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """_pieces, leaving no memory behind in the worker when the task ends."""
+    try:
+        yield from _pieces(batches, path, length, end_id, keep_ids)
+    finally:
+        tokenizer(path).forget()
+        pa.default_memory_pool().release_unused()
+
+
 def length_patterns(length: int) -> np.ndarray:
     """All multisets of 1 to 3 lengths that fill a sequence exactly, as rows padded with 0, largest first."""
     one = [(length, 0, 0)]
@@ -179,7 +188,7 @@ def _placed(batches: Iterator[pa.RecordBatch], table: dict[str, np.ndarray]) ->
         )
 
 
-def pack(documents: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """Pack all documents into sequences of at most length tokens.
 
     A document is its token ids and then end_id. Longer ones are cut into pieces of length tokens, of which the first may
@@ -190,12 +199,13 @@ def pack(documents: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id
     documents: doc_id (integer), text. Null and empty texts give one piece of end_id alone; rows that repeat a
     doc_id are packed each; a null doc_id stays null; an empty table gives no rows; other columns are ignored. Returns
     doc_id, piece (from 0), start, length, ids_crc32 (of the little-endian unsigned 32-bit ids), sequence_id, offset, and
-    with keep_ids also ids (binary, as for ids_crc32).
+    with keep_ids also ids (binary, as for ids_crc32). keep_words: whether a Python worker's cache of words stays for its next task,
+    which saves time; without it, jobs that follow find the memory free.
     """
     small_batches(documents.sparkSession)
     schema = PIECES + (", ids binary" if keep_ids else "")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = rows.mapInArrow(partial(_pieces, path=tokenizer_path, length=length, end_id=end_id, keep_ids=keep_ids), schema)
+    cut = rows.mapInArrow(partial(_pieces if keep_words else _pieces_alone, path=tokenizer_path, length=length, end_id=end_id, keep_ids=keep_ids), schema)
     pieces = saved(cut, "pieces")
     counts = saved(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(length + 1, np.int64)

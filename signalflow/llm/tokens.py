@@ -44,6 +44,10 @@ class CachedTokenizer:
         self.old: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the cache: words are encoded anew when they come again."""
+        self.new, self.old, self.ends = {}, {}, {}
+
     def _byte_letters(self) -> dict[int, str]:
         """Byte-level vocabularies write printable Latin-1 characters as they are, other bytes as characters from 256 on."""
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
