@@ -63,25 +63,24 @@ def judge_captures(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     holds; null if none). A null url or fetch_date is never blocked; repeated rows are judged each; an empty table gives
     no rows.
     """
-    return _judged(captures, intervals).select("page_id", F.col("lists").isNotNull().alias("blocked"), "lists", "since")
+    slim = captures.select("page_id", F.col("url").cast("string").alias("url"), "fetch_date")
+    found = slim.join(_listed(slim, intervals), ["url", "fetch_date"], "left")
+    return found.select("page_id", F.col("lists").isNotNull().alias("blocked"), "lists", "since")
 
 
-def _row() -> Column:
-    return F.xxhash64("page_id", F.col("url").cast("string"), "fetch_date")
-
-
-def _judged(captures: DataFrame, intervals: DataFrame) -> DataFrame:
-    slim = captures.select("page_id", F.col("url").cast("string").alias("url"), "fetch_date").withColumn("row", _row())
-    keyed = slim.where("url is not null and fetch_date is not null").select("row", "fetch_date", F.explode(F.array_distinct(_keys(F.col("url")))).alias("k"))
+def _listed(captures: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Each pair of url and fetch_date that a list held, once, with lists and since. What holds depends on these two columns only, so
+    captures of one URL and day are brought together before their keys are made."""
+    asked = captures.where("url is not null and fetch_date is not null").select("url", "fetch_date").distinct()
+    keyed = asked.select("url", "fetch_date", F.explode(F.array_distinct(_keys(F.col("url")))).alias("k"))
     known = small(saved(intervals, "list-intervals"))
     active = keyed.join(known, (F.col("k.kind") == F.col("kind")) & (F.col("k.pattern") == F.col("pattern")) & (F.col("valid_from") <= F.col("fetch_date")) & (F.col("valid_to").isNull() | (F.col("fetch_date") < F.col("valid_to"))))
-    found = active.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("valid_from").alias("since"))
-    return slim.join(found, "row", "left")
+    return active.groupBy("url", "fetch_date").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min("valid_from").alias("since"))
 
 
 def allowed(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     """captures that no list held when they were fetched; columns as before."""
-    judged = _judged(captures, intervals).where("lists is not null").select(F.col("row").alias("__sf_row")).distinct()
-    gone = small(saved(judged, "blocked"))
-    same = F.xxhash64(captures["page_id"], captures["url"].cast("string"), captures["fetch_date"]) == gone["__sf_row"]
+    slim = captures.select(F.col("url").cast("string").alias("url"), "fetch_date")
+    gone = small(saved(_listed(slim, intervals).select(F.col("url").alias("__sf_url"), F.col("fetch_date").alias("__sf_date")), "blocked"))
+    same = (captures["url"].cast("string") == gone["__sf_url"]) & (captures["fetch_date"] == gone["__sf_date"])
     return captures.join(gone, same, "left_anti")
