@@ -222,13 +222,14 @@ def page_records(records: DataFrame) -> DataFrame:
     """Pages from records of read_warc(): page_id, payload_bytes, payload_digest (bare hex SHA-1), record_type, refers_to.
 
     Of a response, size and digest are those of the payload that was read; of a revisit, those its headers give for the
-    payload that it refers to. Records without X-Page-Id get a null page_id.
+    payload that it refers to. Records of another writer may lack these headers or
+    have other text in them: what is missing or no number is null.
     """
     header, response = F.col("headers"), F.col("headers")["warc-type"] == "response"
     return records.select(
-        header["x-page-id"].cast("long").alias("page_id"),
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("http_headers")["content-length"].cast("long")).alias("payload_bytes"),
+        header["x-page-id"].try_cast("long").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("http_headers")["content-length"].try_cast("long")).alias("payload_bytes"),
         F.when(response, F.sha1("payload")).otherwise(F.substring_index(header["warc-payload-digest"], ":", -1)).alias("payload_digest"),
         header["warc-type"].alias("record_type"),
-        header["x-refers-to-page-id"].cast("long").alias("refers_to"),
+        header["x-refers-to-page-id"].try_cast("long").alias("refers_to"),
     )

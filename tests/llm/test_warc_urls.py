@@ -83,6 +83,15 @@ def test_cut_and_foreign_files(spark, archive, tmp_path):
     assert other == 1 and 0 < n < whole
 
 
+def test_records_of_another_writer(spark):
+    kind = "file string, headers map<string,string>, http_headers map<string,string>, payload binary"
+    headers = [{"warc-type": "response", "x-page-id": "p1"}, {"warc-type": "revisit", "x-page-id": "7", "x-refers-to-page-id": "none", "warc-payload-digest": "sha1:ab"}, {"warc-type": "warcinfo"}, {}]
+    frame = spark.createDataFrame([("f", h, {"content-length": "12 bytes"}, bytearray(b"abc")) for h in headers] + [("f", None, None, None)], kind)
+    got = [tuple(r) for r in warc.page_records(frame).collect()]
+    sha = hashlib.sha1(b"abc").hexdigest()
+    assert got == [(None, 3, sha, "response", None), (7, None, "ab", "revisit", None), (None, None, None, "warcinfo", None), (None, None, None, None, None), (None, None, None, None, None)]
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
