@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from signalflow.llm import packing, token_counts, tokens
 from signalflow.llm.queries import tokenizer_path
@@ -36,6 +36,20 @@ def test_special_strings_and_long_words_as_in_the_library(text, plain):
     assert all(len(w) <= tokens.CACHED_CHARS for w in own.new)
 
 
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    texts = ["Hello  world, it's 12 o'clock", "a b", "É é\n\nx", " lead", "", "<|endoftext|> a"]
+    assert tokens.CachedTokenizer(PATH).by_words
+    changes = [("pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True)), ("pre_tokenizer", pre_tokenizers.Sequence([pre_tokenizers.Digits(True), pre_tokenizers.ByteLevel(add_prefix_space=False)])), ("normalizer", normalizers.Lowercase())]
+    for i, (name, value) in enumerate(changes):
+        other = Tokenizer.from_file(PATH)
+        setattr(other, name, value)
+        other.save(f"{tmp_path}/{i}.json")
+        own = tokens.CachedTokenizer(f"{tmp_path}/{i}.json")
+        assert not own.by_words
+        for text in texts:
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(other, text)
+
+
 @pytest.mark.parametrize("table", ["docs", "edge", "empty"])
 def test_pieces_round_trip(table, request, plain):
     frame = request.getfixturevalue(table)
