@@ -14,5 +14,6 @@ ANALYSIS = (
     "strategic_impact_score int, alert_score int, reason string, suggested_action string, related_topics array<string>, "
     "related_classes array<int>>>"
 )
+ALERT = "alert_id string, event_id string, alert_type string, channel string, content_fingerprint string, text string, delivery_status string"
 PAGE = "source_id string, url string, body string, http_status int"
 PAGE_ITEM = "source_id string, url string, position int, item_url string, title string, summary string, published_at string, error string"
