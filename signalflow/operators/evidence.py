@@ -16,6 +16,9 @@ TYPE_PRIORITY = {"web_changelog": 50, "rss": 45, "web_articles": 40, "github_rel
 #: Summaries from this length on identify an event by their content; days that events take new titles.
 MIN_CONTENT, MATCH_DAYS = 40, 14
 
+#: Decisions that mark no candidate, article or event as discarded.
+UNMARKED = ("already_seen", "duplicate", "analyze", "pending_reanalysis", "evidence_reanalysis")
+
 
 def type_priority(source_type: Column) -> Column:
     out = F.lit(0)
@@ -27,18 +30,22 @@ def type_priority(source_type: Column) -> Column:
 def already_seen(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     """candidates with seen_article: the article of the same canonical URL, stored before or the first of this batch; null
     for the first of a URL that is new."""
-    first = F.min("ordinal").over(W.partitionBy("canonical_url"))
-    known = articles.groupBy(F.col("canonical_url").alias("_url")).agg(F.min("article_id").alias("_known"))
-    joined = candidates.withColumn("_first", first).join(known, F.col("canonical_url") == F.col("_url"), "left")
+    urls = candidates.groupBy(F.col("canonical_url").alias("_url")).agg(F.min("ordinal").alias("_first"), F.count("*").alias("_n"))
+    known = articles.groupBy(F.col("canonical_url").alias("_known_url")).agg(F.min("article_id").alias("_known"))
+    # Only URLs that say something meet the whole rows; a URL that many rows share is one row here.
+    told = urls.join(known, F.col("_url") == F.col("_known_url"), "left").where("_n > 1 or _known is not null").select("_url", "_first", "_known")
+    joined = candidates.join(told, F.col("canonical_url").eqNullSafe(F.col("_url")), "left")
     seen = F.coalesce("_known", F.when(F.col("ordinal") > F.col("_first"), F.col("_first")))
     return joined.withColumn("seen_article", seen).drop("_first", "_url", "_known")
 
 
 def content_groups(candidates: DataFrame) -> DataFrame:
     """candidates with content_first: the first ordinal of the same content, for summaries long enough to tell; else their
-    own. Ordinals of longer summaries only are grouped, so short boilerplate makes no hot group."""
-    same = W.partitionBy(F.when(F.length("summary") >= MIN_CONTENT, F.col("content_hash")).otherwise(F.concat(F.lit("#"), F.col("ordinal").cast("string"))))
-    return candidates.withColumn("content_first", F.min("ordinal").over(same))
+    own. Shorter summaries are not grouped, and contents are counted before they meet the rows, so boilerplate makes no hot group."""
+    told = F.length("summary") >= MIN_CONTENT
+    groups = candidates.where(told).groupBy(F.col("content_hash").alias("_hash")).agg(F.min("ordinal").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    joined = candidates.join(groups.select("_hash", "_first"), told & (F.col("content_hash") == F.col("_hash")), "left")
+    return joined.withColumn("content_first", F.coalesce("_first", "ordinal")).drop("_hash", "_first")
 
 
 def resolve_events(candidates: DataFrame, stored: DataFrame, as_of: Column, min_ratio: float = MIN_RATIO) -> DataFrame:
@@ -149,3 +156,38 @@ def decide(resolved: DataFrame, as_of: Column) -> DataFrame:
         .otherwise("analyze")
     )
     return resolved.withColumn("decision", decision)
+
+
+def marked(decided: DataFrame) -> DataFrame:
+    """decided candidates with what their decision or outcome marks: candidate_reason, article_reason and event_reason (why each is discarded;
+    null: it is not), event_mark (the status that the event takes; null: it keeps its own) and analyses (1 or 0).
+
+    decided: decision, is_new_event and outcome (analyzed, analysis_failed or high_hype of those that were analysed; null: not analysed).
+    Candidates seen before and duplicates mark nothing. An old candidate marks its event only if it leads it; a failed
+    analysis marks the candidate and the event, but not the article, which may be analysed again.
+    """
+    failed = F.when(F.col("outcome").isin("analysis_failed", "high_hype"), F.col("outcome"))
+    reason = F.when(F.col("decision").isin(*UNMARKED), failed).otherwise(F.col("decision"))
+    of_event = F.when((F.col("decision") != "too_old") | F.coalesce("is_new_event", F.lit(True)), reason)
+    return decided.withColumns(
+        {
+            "candidate_reason": reason,
+            "article_reason": F.when(reason != "analysis_failed", reason),
+            "event_reason": of_event,
+            "event_mark": F.when(of_event.isNotNull(), "discarded").when(F.col("outcome") == "analyzed", "analyzed"),
+            "analyses": F.coalesce(F.col("outcome").isin("analyzed", "high_hype"), F.lit(False)).cast("int"),
+        }
+    )
+
+
+def event_changes(marks: DataFrame) -> DataFrame:
+    """What marked() candidates change of their events: event_id, status and discard_reason (by the last candidate that sets them, null if none
+    does), analysis_count, and how many candidates and articles were discarded."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal")))
+    return marks.groupBy("event_id").agg(
+        last("event_mark").alias("status"),
+        last("event_reason").alias("discard_reason"),
+        F.sum("analyses").alias("analysis_count"),
+        F.count("candidate_reason").alias("candidates_discarded"),
+        F.count("article_reason").alias("articles_discarded"),
+    )

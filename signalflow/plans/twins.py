@@ -226,6 +226,20 @@ SELECT run_no, CAST(sum(n) AS BIGINT) AS collected, CAST(sum(CASE WHEN decision
   CAST(sum(web) AS BIGINT) AS web_articles,
   coalesce(string_agg(CASE WHEN decision NOT IN ('analyze', 'pending_reanalysis', 'evidence_reanalysis') THEN decision || '=' || n END, ',' ORDER BY decision), '') AS discards
 FROM (SELECT run_no, decision, count(*) AS n, count(*) FILTER (WHERE primary_bypass) AS bypass, count(*) FILTER (WHERE source_type = 'web_articles') AS web FROM dec GROUP BY 1, 2) GROUP BY run_no""",
+    "stored_events": _with(CANDIDATES, SCORED, TABLES, UPGRADES) + """, o AS (
+  SELECT event_id, ordinal, decision, ordinal = k AS leads, CASE WHEN decision NOT IN ('analyze', 'pending_reanalysis', 'evidence_reanalysis') THEN NULL WHEN ordinal % 13 = 5 THEN 'analysis_failed' WHEN ordinal % 17 = 3 THEN 'high_hype' ELSE 'analyzed' END AS outcome FROM dec),
+r AS (
+  SELECT *, CASE WHEN decision IN ('already_seen', 'duplicate') OR outcome = 'analyzed' THEN NULL WHEN outcome IS NOT NULL THEN outcome ELSE decision END AS reason FROM o),
+e AS (
+  SELECT *, CASE WHEN decision = 'too_old' AND NOT leads THEN NULL ELSE reason END AS event_reason FROM r),
+g AS (
+  SELECT event_id, arg_max(event_reason, ordinal) FILTER (event_reason IS NOT NULL) AS discard_reason, arg_max(CASE WHEN event_reason IS NOT NULL THEN 'discarded' ELSE 'analyzed' END, ordinal) FILTER (event_reason IS NOT NULL OR outcome = 'analyzed') AS status,
+    count(*) FILTER (outcome IN ('analyzed', 'high_hype')) AS analysis_count, count(reason) AS candidates_discarded, count(reason) FILTER (reason <> 'analysis_failed') AS articles_discarded FROM e GROUP BY 1)
+SELECT event_id, coalesce(g.status, ev.status) AS status, coalesce(g.discard_reason, ev.event_discard_reason) AS discard_reason, coalesce(analysis_count, 0) AS analysis_count, coalesce(candidates_discarded, 0) AS candidates_discarded, coalesce(articles_discarded, 0) AS articles_discarded
+FROM ev LEFT JOIN g USING (event_id)""",
+    "stored_scores": _with(*_ALL) + """
+SELECT event_id, profile_id, CAST((alert_score + 7 * CASE (k + profile_id) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END) % 101 AS INTEGER) AS alert_score, suggested_action,
+  CAST(CASE (k + profile_id) % 4 WHEN 3 THEN 2 ELSE 1 END AS INTEGER) AS first_run, CAST(CASE (k + profile_id) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INTEGER) AS last_run, CAST(CASE (k + profile_id) % 4 WHEN 0 THEN 1 ELSE 2 END AS INTEGER) AS runs FROM sc""",
     "run_records": _with(CANDIDATES, SCORED, TABLES, UPGRADES) + """, u AS (
   SELECT d.run_no, d.ordinal, d.decision, d.primary_bypass, c.ordinal > min(c.ordinal) OVER (PARTITION BY c.canonical_url) AS seen, d.decision IN ('analyze', 'pending_reanalysis', 'evidence_reanalysis') AS called, length(c.summary) AS n
   FROM dec d JOIN cand c USING (ordinal)),
@@ -357,7 +371,7 @@ SELECT slug, upper(slug) || CASE WHEN no % 3 <> 0 THEN '!' ELSE '' END AS name,
 UNION ALL SELECT DISTINCT lang, lang, '+', true FROM documents""",
     "source_upserts": _with(CANDIDATES) + """
 SELECT source_type, source_url, ordinal FROM (
-  SELECT source_type, source_url, ordinal, row_number() OVER (PARTITION BY source_type, source_url ORDER BY ordinal % 2 DESC, ordinal DESC) AS r FROM cand WHERE ordinal % 2 = 0 OR ordinal % 5 < 3) WHERE r = 1""",
+  SELECT source_type, source_url, ordinal, row_number() OVER (PARTITION BY source_type, source_url ORDER BY ordinal % 2 DESC, ordinal DESC) AS r FROM cand) WHERE r = 1""",
     "relative_times": _with(*_ALL) + f"""
 SELECT article_id, {_ago('published_at')} AS ago, published_at < {NOW} - INTERVAL 30 DAY AS historical, coalesce(strftime(published_at - INTERVAL 3 HOUR, '%d %b %Y · %H:%M'), '—') AS local FROM art""",
 }

@@ -166,3 +166,30 @@ def test_events_equal_the_loop(spark, seed):
             by_content[r.content_hash] = want[r.ordinal][0]
     got = {r.ordinal: (r.leader, r.by) for r in evidence.resolve_events(c.drop("own", "model"), stored, A.as_of()).collect()}
     assert got == want
+
+
+def test_seen_and_content_groups_of_nulls_hot_and_stored_keys(spark):
+    long = "the same words in a summary that is long enough to tell"
+    rows = [(i, "u" if i < 30 else None if i < 33 else f"u{i}", "h" if i % 2 else "g", long if i % 2 else "short", "clash") for i in range(40)]
+    c = spark.createDataFrame(rows, "ordinal long, canonical_url string, content_hash string, summary string, _known_url string")
+    stored = spark.createDataFrame([(-5, "u39"), (-7, "u39"), (-2, "u"), (-9, None)], "article_id long, canonical_url string")
+    seen = {r.ordinal: r.seen_article for r in evidence.already_seen(c, stored).collect()}
+    assert seen == {i: -2 if i < 30 else (None if i == 30 else 30) if i < 33 else -7 if i == 39 else None for i in range(40)}
+    assert {r.ordinal: r.seen_article for r in evidence.already_seen(c, stored.limit(0)).collect()}[29] == 0
+    got = evidence.content_groups(c)
+    assert got.columns == c.columns + ["content_first"] and {r.ordinal: r.content_first for r in got.collect()} == {i: 1 if i % 2 else i for i in range(40)}
+    assert evidence.content_groups(c.limit(0)).count() == 0 and evidence.already_seen(c.limit(0), stored).count() == 0
+
+
+def test_marks_of_decisions_and_outcomes(spark):
+    rows = [
+        (1, "e", "too_old", True, None), (2, "e", "duplicate", False, None), (3, "e", "evidence_reanalysis", False, "analyzed"), (4, "e", "too_old", False, None),
+        (5, "f", "analyze", True, "analysis_failed"), (6, "g", "low_trust", True, None), (7, "h", "analyze", True, "high_hype"), (8, "i", "analyze", True, None), (9, "i", "already_seen", False, None), (10, "j", "too_old", None, None),
+    ]
+    marks = evidence.marked(spark.createDataFrame(rows, "ordinal long, event_id string, decision string, is_new_event boolean, outcome string"))
+    got = {r.event_id: tuple(r)[1:] for r in evidence.event_changes(marks).collect()}
+    assert got == {
+        "e": ("analyzed", "too_old", 1, 2, 2), "f": ("discarded", "analysis_failed", 0, 1, 0), "g": ("discarded", "low_trust", 0, 1, 1), "h": ("discarded", "high_hype", 1, 1, 1),
+        "i": (None, None, 0, 0, 0), "j": ("discarded", "too_old", 0, 1, 1),
+    }
+    assert evidence.event_changes(marks.limit(0)).count() == 0
