@@ -21,7 +21,7 @@ def keep_stored(old: Column, new: Column) -> Column:
 
 
 class KeyedTable:
-    """One row for each key, in buckets by a hash of the key.
+    """One row for each key, in buckets by a hash of the key, or of bucket_by, some columns of the key.
 
     folder/data/N has the buckets that batch N wrote, folder/marks/N says for each bucket which batch wrote it last. A mark counts once
     its _SUCCESS file is there, which Spark writes last: until then readers see the batch before, and a batch that runs again
@@ -32,8 +32,9 @@ class KeyedTable:
     all buckets that it has keys of, and no others.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], buckets: int = 64):
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], buckets: int = 64, bucket_by: list[str] | None = None):
         self.spark, self.folder, self.schema, self.keys, self.buckets = spark, folder, schema, keys, buckets
+        self.bucket_by = bucket_by or keys
         self.columns = [f.name for f in spark.createDataFrame([], schema).schema]
 
     def _path(self, *parts: object) -> object:
@@ -67,6 +68,24 @@ class KeyedTable:
         known = self.versions()
         return self._buckets(self._placed(version if version is not None else known[-1] if known else None))
 
+    def before(self, number: int) -> int | None:
+        """The last batch whose mark counts that comes before this one, which a batch that runs again has to start from."""
+        return max((v for v in self.versions() if v < number), default=None)
+
+    def matching(self, keys: DataFrame, version: int | None) -> DataFrame:
+        """Rows of the keys (columns named as the table's) after that batch (None: before the first); only the keys' buckets are read."""
+        asked = keys.select(*self.keys).distinct()
+        return self.of_buckets(asked, version).join(asked, self.keys, "left_semi")
+
+    def of_buckets(self, keys: DataFrame, version: int | None) -> DataFrame:
+        """All rows of the buckets that the keys (columns of bucket_by) are in."""
+        placed = self._placed(version)
+        touched = {r[0] for r in keys.select(self._bucket().alias(_BUCKET)).distinct().collect()} if placed else set()
+        return self._buckets({b: n for b, n in placed.items() if b in touched})
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
+
     def apply(self, number: int, changes: DataFrame, order: list[str], rules: dict[str, Rule] | None = None) -> None:
         """Put changes (all columns of the table) in as batch number.
 
@@ -79,7 +98,7 @@ class KeyedTable:
         placed = self._placed(known[-1] if known else None)
         sort = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in self.columns if c not in order])
         last = changes.groupBy(*[F.col(k).alias(f"__sf_{k}") for k in self.keys]).agg(F.max(sort).alias("r")).select(*[F.col("r")[c].alias(c) for c in self.columns])
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        bucket = self._bucket()
         new = saved(last.withColumn(_BUCKET, bucket), "changes")
         touched = [r[0] for r in new.select(_BUCKET).distinct().collect()]  # no more than there are buckets
         old = self._buckets({b: placed[b] for b in touched if b in placed}).withColumn("__sf_stored", F.lit(True))
