@@ -37,9 +37,13 @@ class EventIndex:
 
         Events match by title and model if they were first seen in the MATCH_DAYS days before the batch's latest discovered_at. Input that is
         split in another way gives the same events as long as it spans no more days than these. Candidates without a URL are left out, further
-        columns are not kept, and an empty batch stores nothing but its number."""
+        columns are not kept, an empty batch stores nothing, and a batch that all tables have is not resolved again."""
+        if all(t.before(number + 1) == number for t in (self.articles, self.contents, self.events, self.days)):
+            return
         columns = ["ordinal", "canonical_url", "content_hash", "normalized_title", "title", "summary", "exact_model_id", "discovered_at"]
         c = saved(candidates.where("canonical_url is not null").select(*columns), "batch-candidates")
+        if c.isEmpty():
+            return
         latest = F.lit(c.agg(F.max("discovered_at")).first()[0]).cast("timestamp")
         since = latest - F.expr(f"INTERVAL {MATCH_DAYS} DAYS")
         known = self.articles.matching(c, self.articles.before(number))
