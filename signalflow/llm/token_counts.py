@@ -2,55 +2,151 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterable, Iterator
+from functools import cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.models import BPE
 
 from .common import new_path, small_batches
 from .mixing import word_count
-from .tokens import CACHED_CHARS, GENERATION_WORDS, tokenizer
+from .tokens import _OTHER_SPACE, _PLAIN_MODEL, CACHED_CHARS, GENERATION_WORDS, tokenizer
 
 GROUP = ["source", "lang", "tokenizer"]
 
+#: The normalizer and the splitting rule of vocabularies that drop white space, under which words can be counted one by one.
+_FOLD = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_FOLD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Letters (isalpha() is asked too) with ASCII punctuation after them, and the line feed before.
+_LETTERS = re.compile(r"(\n?)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: Bits of one version's count in a number that holds those of all, and a count that no text has.
+BITS, NEVER = 80, 1 << 40
+
+
+def _words(text: str) -> list[str]:
+    """What stands between single spaces; a word that begins the text or a line has a line feed before it."""
+    words = text.replace("\n", " \n").split(" ")
+    words[0] = "\n" + words[0]
+    return words
+
+
+class _Vocabulary:
+    """Numbers of tokens of single words (as _words gives them), NEVER if they depend on the words around: where a vocabulary keeps
+    white space, at white space of other kinds or more than one between words, and at strings of special tokens. Vocabularies
+    with another normalizer, splitting rule or model than the two known ones count no word by itself."""
+
+    def __init__(self, path: str):
+        self.own = tokenizer(path)
+        whole = self.own.tokenizer
+        model = {k: v for k, v in _PLAIN_MODEL.items() if k != "end_of_word_suffix"}
+        rules = [part and json.loads(part.__getstate__()) for part in (whole.normalizer, whole.pre_tokenizer)]
+        single = whole.truncation is None and not any(t.normalized or t.content.isalpha() or re.search(r"\s", t.content) for t in whole.get_added_tokens_decoder().values())
+        self.folds = single and rules == [_FOLD, _FOLD_SPLIT] and isinstance(self.own.model, BPE) and all(getattr(self.own.model, k) == v for k, v in model.items())
+        self.by_words = self.folds or (single and self.own.by_words)
+        self.line_feed = len(self.own.line_feed) // 4
+
+    def whole(self, text: str) -> int:
+        return len(self.own.whole(text)) // 4
+
+    def letters(self, first: str, word: str) -> int:
+        """Tokens of a word of letters only, after a line feed (first) or a space: by the BPE model alone."""
+        if not self.by_words:
+            return NEVER
+        if self.folds and not word.isascii() and max(word) > "\xff":  # past Latin-1, folding takes more than lower()
+            return self.whole(word)
+        piece = word.lower() if self.folds else word
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.own.letters)
+        if not first and not self.folds:
+            piece = self.own.letters[32] + piece
+        return self.line_feed * len(first) + len(self.own.model.tokenize(piece))
+
+    def other(self, word: str) -> int:
+        if self.folds:
+            return self.whole(word)
+        body = word.removeprefix("\n")
+        if not self.by_words or not body or _OTHER_SPACE.search(body) or any(s in body for s in self.own.special):
+            return NEVER
+        return self.whole(word if body != word else " " + word)
+
+
+class WordCounts(dict[str, int]):
+    """Numbers of tokens of words by some vocabularies, BITS apart in one number, so a word is looked up once for all of them. A word is
+    counted when it is first looked up: punctuation after letters by itself, so letters are encoded once whatever follows them.
+    Two generations of words are held, so the size is bounded and frequent words stay."""
+
+    def __init__(self, paths: Iterable[str]):
+        super().__init__()
+        self.vocabularies = [_Vocabulary(p) for p in paths]
+        self.special = {s for v in self.vocabularies for s in v.own.special}
+        self.start = self._joined(v.line_feed * v.by_words for v in self.vocabularies)
+        self.old: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        self.same: dict[int, int] = {}
+
+    def _joined(self, counts: Iterable[int]) -> int:
+        return sum(n << (BITS * i) for i, n in enumerate(counts))
+
+    def __missing__(self, word: str) -> int:
+        n = self.old.get(word)
+        if n is None:
+            n = self._count(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= GENERATION_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = n = self.same.setdefault(n, n)
+        return n
 
-#: Where texts are cut for vocabularies that drop white space: none of their tokens spans it.
-_GAP = re.compile("[ \n]+")
-
-
-def _counter(path: str) -> Callable[[str | None], int]:
-    """The number of tokens of a text. Vocabularies that drop white space count each word by itself, and remember it."""
-    own = tokenizer(path)
-    if own.line_feed or own.whole(" "):
-        return lambda text: len(own.encode(text)) // 4
-    known: dict[str, int] = {}
-
-    def count(text: str | None) -> int:
-        n = 0
-        for w in _GAP.split(text or ""):
-            found = known.get(w)
-            if found is None:
-                found = len(own.whole(w)) // 4
-                if len(w) <= CACHED_CHARS:
-                    if len(known) >= GENERATION_WORDS:
-                        known.clear()
-                    known[w] = found
-            n += found
+    def _count(self, word: str) -> int:
+        found = _LETTERS.fullmatch(word)
+        if not found or not found[2].isalpha() or (found[3] and any(s in word for s in self.special)):
+            return self._joined(v.other(word) for v in self.vocabularies)
+        first, stem, end = found.groups()
+        return self[first + stem] + self._end(end) if end else self._joined(v.letters(first, stem) for v in self.vocabularies)
+
+    def _end(self, end: str) -> int:
+        n = self.ends.get(end)
+        if n is None:
+            n = self._joined(v.whole(end) for v in self.vocabularies)
+            if len(self.ends) < 10_000 and len(end) <= CACHED_CHARS:
+                self.ends[end] = n
         return n
 
-    return count
+    def totals(self, text: str | None) -> list[int]:
+        """Numbers of tokens of a text by each vocabulary."""
+        if not text:
+            return [0] * len(self.vocabularies)
+        n = sum(map(self.__getitem__, _words(text))) - self.start if any(v.by_words for v in self.vocabularies) else 0
+        found = [n >> (BITS * i) & ((1 << BITS) - 1) for i in range(len(self.vocabularies))]
+        return [k if v.by_words and k < NEVER // 2 else v.whole(text) for v, k in zip(self.vocabularies, found)]
+
+
+#: Counts of words are kept in a Python process from task to task.
+_counts = cache(WordCounts)
+
+
+def _counter(path: str):
+    """The number of tokens of a text by one vocabulary."""
+    return lambda text: _counts((path,)).totals(text)[0]
 
 
 def _lengths(batches: Iterator[pa.RecordBatch], paths: dict[str, str]) -> Iterator[pa.RecordBatch]:
-    counts = {version: _counter(path) for version, path in paths.items()}
+    known = _counts(tuple(paths.values()))
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
-        for version, count in counts.items():
-            n = pa.array([count(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([version] * len(texts)), n], names=[*batch.schema.names[:-1], "tokenizer", "tokens"])
+        for version, n in zip(paths, zip(*map(known.totals, texts))):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([version] * len(texts)), pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], "tokenizer", "tokens"])
 
 
 def bpe_counts(documents: DataFrame, paths: dict[str, str]) -> DataFrame:
