@@ -60,6 +60,14 @@ def test_page_layouts(spark):
     assert sorted((r.source_id, r.title, r.error) for r in got) == [("a", "One & two", None), ("b", None, "HTTP_ERROR"), ("c", None, "EMPTY"), ("d", None, "PARSE_ERROR"), ("e", "cut", None)]
 
 
+def test_titles_cut_within_an_entity_keep_its_letters():
+    """As in the SQL of the query page_items: entities of whole pages end with a semicolon."""
+    title = lambda t: pages.page_items(f"<html><head><title>{t}</title></head><body>x</body></html>", "http://h/", pages.LAYOUTS["page"])[0]["title"]
+    for text, want in [("A &amp; b&amp", "A & b&amp"), ("a&quot", "a&quot"), ("a&am", "a&am"), ("&ampfoo; &#39 &#39; &#x27; &eacute;", "&ampfoo; &#39 ' ' é"), ("&amp;amp; &", "&amp; &"), ("&amp;lt", "&lt")]:
+        assert title(text) == want
+    assert pages.page_items("<article><h2>a &copy b</h2></article>", "http://h/", pages.LAYOUTS["cards"])[0]["title"] == "a © b"
+
+
 def test_pages_of_dated_headings(spark):
     lists = '<h2>no id</h2><ul><li>skipped</li></ul><h2 id="may">May 2, 2024</h2><p>intro</p><ul><li><strong>Fast</strong> mode <ul><li>inner</li></ul> is <a href="/x">here</a></li><li>Second one. More.</li></ul><h2 id="b">2024-04-01</h2><li>cut'
     assert pages.page_items(lists, "http://h/log", pages.SECTIONS["dated-lists"]) == [
