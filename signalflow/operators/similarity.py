@@ -1,26 +1,25 @@
-"""Similar titles: an exact similarity join by rare q-grams, and leader clustering in rounds of joins."""
+"""Similar titles: an exact similarity join of blocks of near lengths, and leader clustering in rounds of joins."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .tables import saved
 
 #: Titles match from this ratio on.
 MIN_RATIO = 88.0
-#: Letters of the grams that longer titles are joined on.
-LONG_GRAM = 4
-#: Of the grams that a similar title can't break, the share that is asked for among the rarest ones, by letters of a gram.
-ASKED = {2: 0.25, 4: 0.3}
-#: Classes of letters, and of grams of two letters, whose numbers are compared.
-PROFILES = {1: 32, 2: 64}
+#: Titles and letters of a block at most; few titles make BLOCKS blocks or so, of LEAST_ROWS titles or more.
+BLOCK_ROWS, LETTERS, BLOCKS, LEAST_ROWS = 4096, 1 << 20, 32, 64
+#: Bands of lengths within the largest ratio of two similar titles' lengths.
+BANDS = 3
+#: Kinds of letters that are counted; pairs whose numbers of letters, and whose subsequences, are compared at once.
+CLASSES, TILE, CHUNK = 32, 1 << 18, 1 << 14
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -42,110 +41,149 @@ def title_ratio(a: str, b: str) -> float:
     return 100.0 * 2 * lcs_length(a, b) / total if total else 100.0
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([title_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def _broken(r: float, q: int) -> float:
-    """The largest share of a title's letters that counts its q-grams without a partner in a title of ratio r or more.
-
-    A letter that is missing breaks q of them, one that is added q - 1; most break when letters are only missing, which the ratio
-    allows for 2 (1 - r) / (2 - r) of a title's letters."""
-    return max(q * 2 * (1 - r) / (2 - r), (2 * q - 1) * (1 - r))
-
-
-def _grams(titles: DataFrame, q: int) -> DataFrame:
-    """rep, n, i (place) and g for each q-gram."""
-    each = titles.where(F.col("n") >= q).select("rep", "n", "title", F.explode(F.sequence(F.lit(1), F.col("n") - (q - 1))).alias("i"))
-    return each.select("rep", "n", "i", F.xxhash64(F.substr("title", "i", F.lit(q))).alias("g"))
-
-
-def _profile(titles: DataFrame, q: int) -> DataFrame:
-    """titles with how many of its q-grams are in each class, in four 64-bit words named by q: PROFILES[q] classes, each as many bits,
-    numbers that do not fit at their largest."""
-    bits, name = 256 // PROFILES[q], "p" + str(q) + "_"
-    each = titles.where(F.col("n") >= q).select("rep", F.explode(F.sequence(F.lit(1), F.col("n") - (q - 1))).alias("i"), "title").select("rep", F.substr("title", "i", F.lit(q)).alias("g"))
-    kind = F.pmod(F.ascii("g"), F.lit(PROFILES[q])) if q == 1 else F.pmod(F.xxhash64("g"), F.lit(PROFILES[q])).cast("int")
-    number = each.groupBy("rep", kind.alias("k")).agg(F.least(F.count("*"), F.lit((1 << bits) - 1)).cast("long").alias("m"))
-    place = F.expr(f"shiftleft(m, {bits} * (k % {64 // bits}))")
-    words = number.groupBy("rep").agg(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("k") / (64 // bits)) == w, place)), F.lit(0)).cast("long").alias(f"{name}{w}") for w in range(4)])
-    return titles.join(words, "rep", "left").na.fill(0, [f"{name}{w}" for w in range(4)])
-
-
-def _gap(q: int) -> Column:
-    """By how much the profiles of a pair, columns like p1_0 and the other's like p1_0_o, differ in all classes together."""
-    bits = 256 // PROFILES[q]
-    part = lambda c, i: F.shiftrightunsigned(F.col(c), bits * i).bitwiseAND(F.lit((1 << bits) - 1))
-    return reduce(lambda x, y: x + y, [F.abs(part(f"p{q}_{w}", i) - part(f"p{q}_{w}_o", i)) for w in range(4) for i in range(64 // bits)])
-
-
-def _candidates(titles: DataFrame, r: float, q: int) -> DataFrame:
-    """Pairs (rep, rep2) of titles (rep, title, n and profiles) that share grams at places, and have lengths and letters,
-    that the ratio allows.
-
-    Of two titles of ratio r, the rarest q-grams of each, as many as can be broken and k more, have k at least in common at places that
-    the ratio allows: the common subsequence pairs those that are not broken, in the same order in both titles, so the k rarest of these
-    pairs are among the rarest of each. The join's key has beside the q-gram a band of lengths and a stretch of places,
-    so that a frequent q-gram is split over many keys; each entry is looked for in its own and the neighbouring bands and stretches.
-    Profiles travel with the entries and drop nearly all pairs where they meet: numbers of letters differ by no more than the letters
-    that the two do not share, and numbers of two letters by three times as many. Only ids and numbers travel."""
-    words = [f"p{k}_{w}" for k in PROFILES for w in range(4)]
-    grams = _grams(titles, q)
-    frequency = grams.groupBy("g").agg(F.count("*").alias("df"))
-    order = F.row_number().over(W.partitionBy("rep").orderBy("df", "g", "i"))
-    broken = lambda n: F.floor(F.lit(_broken(r, q) + 1e-9) * n)
-    asked = lambda n: F.greatest(F.floor(F.lit(ASKED[q]) * (n - F.lit(q - 1) - broken(n))), F.lit(1))
-    profiles = titles.select("rep", *words)
-    prefix = grams.join(frequency, "g").select("*", order.alias("k")).where(F.col("k") <= broken(F.col("n")) + asked(F.col("n"))).join(profiles, "rep")
+def _letter_codes(titles: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of titles; row, place and number (from 1, in letters) of each of their letters."""
+    n = np.array([len(t) for t in titles], dtype=np.int64)
+    row = np.repeat(np.arange(len(titles)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return n, row, place, np.searchsorted(letters, _code_points(titles)) + 1
+
+
+def _code_points(titles: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _common_lengths(masks: list[np.ndarray], at: np.ndarray, texts: np.ndarray, j: np.ndarray, n2: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of longest common subsequences of many pairs at once, as lcs_length() does one: (which pairs, their lengths), those below
+    need left out. masks: for each 64 letters of the first titles, the places of letter c at [at + c]; texts[i, j]: letter i of text j."""
+    left, row, zero = np.arange(len(at)), [np.full(len(at), ~np.uint64(0)) for _ in masks], np.zeros(len(at), dtype=np.int64)
+    for i in range(int(n2.max(initial=0))):
+        place, carry = at[left] + texts[i, j[left]], None
+        for w, mask in enumerate(masks):
+            old, both = row[w], row[w] & mask[place]
+            total = old + both
+            over = total < old
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            row[w], carry = total | (old - both), over.astype(np.uint64)
+        if i % 16 == 15 or i + 1 == n2.max():
+            zero = sum(64 - np.bitwise_count(x).astype(np.int64) for x in row)
+            keep = zero + np.maximum(n2[left] - i - 1, 0) >= need[left]
+            if not keep.all():
+                left, row, zero = left[keep], [x[keep] for x in row], zero[keep]
+    return left, zero
+
+
+def similar_in_blocks(first: list[str], second: list[str] | None, min_ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j and ratio of all pairs of titles that reach the ratio, one of first and one of second; without second, i < j of first.
+
+    Lengths and numbers of letters bound the common subsequence and leave few pairs, whose subsequence is computed. Pairs are looked at in
+    tiles of TILE, so memory depends on the titles, not on their pairs."""
+    r = min_ratio / 100.0
+    order = np.argsort([len(t) for t in first], kind="stable")
+    order2 = order if second is None else np.argsort([len(t) for t in second], kind="stable")
+    one, two = [first[k] for k in order], [(first if second is None else second)[k] for k in order2]
+    letters, number = np.unique(np.concatenate([_code_points(one), _code_points(two)]), return_counts=True)
+    n, row, place, code = _letter_codes(one, letters)
+    n2, row2, place2, code2 = _letter_codes(two, letters)
+    longest = int(max(n.max(initial=0), n2.max(initial=0)))
+    if longest == 0:
+        return np.array([], dtype=int), np.array([], dtype=int), np.array([])
+    # The most frequent letters are counted each, the others together.
+    kinds = min(CLASSES, len(letters))
+    kind = np.empty(len(letters) + 1, dtype=np.int64)
+    kind[1 + np.argsort(-number, kind="stable")] = np.minimum(np.arange(len(letters)), kinds - 1)
+    counted = np.min_scalar_type(longest)
+    profile, profile2 = (np.bincount(x * kinds + kind[c], minlength=kinds * m).reshape(m, kinds).T.astype(counted) for x, c, m in ((row, code, len(n)), (row2, code2, len(n2))))
+    texts = np.zeros((int(n2.max(initial=0)), len(n2)), dtype=np.min_scalar_type(len(letters)))
+    texts[place2, row2] = code2
+    words, size = int(n.max(initial=0)) // 64 + 1, len(letters) + 1
+    tile, span = max(1, TILE // max(1, len(n2))), max(1, LETTERS * 4 // (size * words))
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def decide(i: np.ndarray, j: np.ndarray) -> None:
+        left, lcs = _common_lengths(masks, (i - start) * size, texts, j, n2[j], r * (n[i] + n2[j]) / 2 - 1e-6)
+        i, j = i[left], j[left]
+        ratio = 100.0 * 2 * lcs / (n[i] + n2[j])
+        keep = ratio >= min_ratio
+        found.append((order[i[keep]], order2[j[keep]], ratio[keep]))
+
+    for start in range(0, len(n), span):
+        stop = min(start + span, len(n))
+        within = (row >= start) & (row < stop)
+        where, bit, word = (row[within] - start) * size + code[within], np.left_shift(np.uint64(1), (place[within] % 64).astype(np.uint64)), place[within] // 64
+        masks = [np.zeros((stop - start) * size, dtype=np.uint64) for _ in range(words)]
+        for w in range(words):
+            np.bitwise_or.at(masks[w], where[word == w], bit[word == w])
+        waiting, waits = [], 0
+        for begin in range(start, stop, tile):
+            end = min(begin + tile, stop)
+            low, high = int(np.searchsorted(n2, n[begin] * r / (2 - r) - 1e-6, "left")), int(np.searchsorted(n2, n[end - 1] * (2 - r) / r + 1e-6, "right"))
+            low = max(low, begin + 1) if second is None else low
+            if low < high:
+                common, least = np.zeros((end - begin, high - low), dtype=counted), np.empty((end - begin, high - low), dtype=counted)
+                for x, y in zip(profile, profile2):
+                    common += np.minimum(x[begin:end, None], y[None, low:high], out=least)
+                needed = np.maximum(np.ceil(r * (n[begin] + n2[low:high]) / 2 - 1e-6), 0).astype(counted)
+                i, j = np.divmod(np.flatnonzero(common >= needed), high - low)
+                shared, i, j = common[i, j], i + begin, j + low
+                keep = shared >= r * (n[i] + n2[j]) / 2 - 1e-6
+                if second is None:
+                    keep &= i < j
+                waiting.append((i[keep], j[keep]))
+                waits += len(waiting[-1][0])
+            if waiting and (waits >= CHUNK or end == stop):
+                i, j = (np.concatenate(x) for x in zip(*waiting))
+                for k in range(0, len(i), CHUNK):
+                    decide(i[k : k + CHUNK], j[k : k + CHUNK])
+                waiting, waits = [], 0
+    i, j, ratio = (np.concatenate(x) for x in zip(*found)) if found else (np.array([], dtype=int), np.array([], dtype=int), np.array([]))
+    return (np.minimum(i, j), np.maximum(i, j), ratio) if second is None else (i, j, ratio)
+
+
+def _block_pairs(titles: DataFrame, r: float) -> DataFrame:
+    """titles (rep, title, n) in each pair of blocks (block, block2) that they are compared in: side 0 is block's, side 1 block2's; a block's
+    titles meet each other where both are the same.
+
+    A block has titles of one band of lengths, dealt by their ids, so a frequent length or word makes more blocks, not larger ones. A title
+    is entered in the blocks of those bands only that titles of the ratio can be in."""
     step = (2 - r) / r  # a similar title is at most so many times as long
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + 1e-9).cast("int")
-    # Places differ by the letters that one of the titles has more than the other up to there.
-    shift = lambda b: F.ceil(F.lit(2 * (1 - r) / (2 - r)) * F.pow(F.lit(step), b + 1) + 1).cast("int")
-    here = prefix.select("rep", "n", "i", "g", band.alias("band"), *words)
-    mine = here.select("*", F.floor(F.col("i") / shift(F.col("band"))).cast("int").alias("at"))
-    # An entry is entered in the bands of titles that are as long or shorter, in the stretches of those bands.
-    other = here.select(
-        F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("i").alias("i2"), "g", F.explode(F.sequence(F.col("band") - 1, F.col("band"))).alias("band"), *[F.col(w).alias(w + "_o") for w in words]
+    band = lambda n: F.floor(F.lit(BANDS) * F.log(n) / F.lit(math.log(step)) + F.lit(1e-9)).cast("int")
+    n = F.col("n").cast("double")
+    banded = titles.withColumn("band", band(n))
+    sizes = saved(banded.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("letters")), "title-bands")
+    rows = max(LEAST_ROWS, min(BLOCK_ROWS, (sizes.agg(F.sum("rows")).first()[0] or 0) // BLOCKS))
+    sizes = sizes.select("band", F.ceil(F.greatest(F.col("rows") / rows, F.col("letters") / LETTERS)).alias("blocks"))
+    block = lambda band, k: F.col(band).cast("long") * (1 << 32) + k
+    others = sizes.select(F.col("band").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select("other", block("other", F.col("k")).alias("near"))
+    own = banded.join(F.broadcast(sizes), "band").select(
+        "rep", "title", block("band", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("own"), F.explode(F.sequence(band(n / step * (1 - 1e-9)), band(n * step * (1 + 1e-9)))).alias("other")
     )
-    stretch = F.floor(F.col("i2") / shift(F.col("band"))).cast("int")
-    other = other.select("*", F.explode(F.sequence(stretch - 1, stretch + 1)).alias("at"))
-    lengths = F.lit(r) * (F.col("n") + F.col("n2")) <= 2 * F.col("n") + F.lit(1e-9)
-    order_once = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") < F.col("rep2")))
-    apart = F.lit(1 - r + 1e-9) * (F.col("n") + F.col("n2"))
-    places = F.abs(F.col("i") - F.col("i2")) <= apart
-    profiled = reduce(lambda x, y: x & y, [_gap(k) <= (2 * k - 1) * apart for k in PROFILES])
-    met = mine.join(other, ["g", "band", "at"]).where(order_once & lengths & places & profiled)
-    common = met.groupBy("rep", "rep2", "n", "n2").agg(F.count_distinct("i").alias("common")).where(F.col("common") >= F.least(asked(F.col("n")), asked(F.col("n2"))))
-    return common.select(F.least("rep", "rep2").alias("rep"), F.greatest("rep", "rep2").alias("rep2"))
+    met = own.join(F.broadcast(others), "other")
+    return met.select(F.least("own", "near").alias("block"), F.greatest("own", "near").alias("block2"), (F.col("own") > F.col("near")).cast("int").alias("side"), "rep", "title")
 
 
 def title_pairs(kinds: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """All pairs (rep, rep2, ratio) of distinct titles (rep: an id, title) that reach the ratio; rep < rep2.
 
-    Titles are joined on their rarest q-grams: four letters where those that can be broken leave some of a title's, two letters for
-    shorter titles and those that may be similar to them. A count of shared grams and profiles of letters leave few pairs; a bounded
-    Levenshtein distance, never larger than the letters that two similar titles do not share, drops most of these, and the longest
-    common subsequence decides the rest. Titles of less than two characters are similar to no other title.
+    Titles of near lengths are compared in pairs of blocks, one pair of blocks at a time. Titles of less than two characters are similar to no
+    other title.
     """
     if min_ratio < 86:
         raise ValueError("min_ratio must be at least 86")
-    r = min_ratio / 100.0
-    kinds = kinds.select("rep", "title", F.length("title").alias("n"))
-    for q in PROFILES:
-        kinds = _profile(kinds, q)
-    kinds = saved(kinds, "titles")
-    # From this length on, a title has more grams of four letters than can be broken.
-    long_from = LONG_GRAM / (1 - _broken(r, LONG_GRAM)) if _broken(r, LONG_GRAM) < 1 else math.inf
-    near = _candidates(kinds.where(F.col("n") < long_from * (2 - r) / r), r, 2) if math.isfinite(long_from) else _candidates(kinds, r, 2)
-    if math.isfinite(long_from):
-        near = near.unionByName(_candidates(kinds.where(F.col("n") >= long_from), r, LONG_GRAM)).distinct()
-    near = saved(near, "title-candidates")
-    texts = kinds.select("rep", "title", "n")
-    both = near.join(texts, "rep").join(texts.select(F.col("rep").alias("rep2"), F.col("title").alias("title2"), F.col("n").alias("n2")), "rep2")
-    bound = F.floor(F.lit(1 - r + 1e-9) * (F.col("n") + F.col("n2"))).cast("int")
-    both = both.select("rep", "rep2", "title", "title2", bound.alias("bound")).where(F.expr("levenshtein(title, title2, bound)") >= 0)
-    return both.withColumn("ratio", _ratio("title", "title2")).where(F.col("ratio") >= min_ratio).select("rep", "rep2", "ratio")
+    titles = saved(kinds.select("rep", "title", F.length("title").alias("n")).where("n > 1"), "titles")
+    kind = titles.schema["rep"].dataType
+
+    def compared(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        one, two = (frame[frame["side"] == side] for side in (0, 1))
+        i, j, ratio = similar_in_blocks(one["title"].tolist(), None if key[0] == key[1] else two["title"].tolist(), min_ratio)
+        two = one if key[0] == key[1] else two
+        return pd.DataFrame({"x": one["rep"].to_numpy()[i], "y": two["rep"].to_numpy()[j], "ratio": ratio})
+
+    schema = StructType([StructField("x", kind), StructField("y", kind), StructField("ratio", DoubleType())])
+    found = _block_pairs(titles, min_ratio / 100.0).groupBy("block", "block2").applyInPandas(compared, schema)
+    return saved(found.select(F.least("x", "y").alias("rep"), F.greatest("x", "y").alias("rep2"), "ratio"), "title-pairs")
 
 
 def title_groups(titles: DataFrame) -> DataFrame:
@@ -160,6 +198,8 @@ def similar_titles(titles: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame
     titles: id (orderable), title. Below a ratio of 0.86 the shortest titles need not share a gram of two letters, so it is not allowed.
     Null titles match nothing. Rows that repeat an id count once, with the first of its titles in order.
     """
+    # Saved first, since conditions on a title would work it out again from the whole text that it comes from.
+    titles = saved(titles.select("id", "title"), "given-titles")
     unique = titles.where("title is not null and id is not null").groupBy("id").agg(F.min("title").alias("title"))
     kinds = saved(title_groups(unique), "title-groups")
     pairs = title_pairs(kinds, min_ratio).select(F.col("rep").alias("a"), F.col("rep2").alias("b"), "ratio")

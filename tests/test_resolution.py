@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,42 @@ def test_similar_titles_equal_all_pairs(spark, ratio):
     assert got == want
 
 
+def test_blocks_of_titles_equal_all_pairs():
+    """Tiles and chunks of any size, letters of one or several 64-bit words, more kinds of letters than are counted."""
+    rng = random.Random(11)
+    for trial in range(12):
+        letters = "abc de" if trial % 2 else "".join(chr(0x4E00 + i) for i in range(300)) + "\U0001d4b3"
+        base = ["".join(rng.choices(letters, k=k)) for k in (2, 5, 20, 63, 64, 65, 129, 300)]
+        sides = []
+        for _ in range(2):
+            side = []
+            for t in base * 5:
+                s = list(t)
+                for _ in range(rng.randrange(max(2, len(t) // 6))):
+                    s.insert(rng.randrange(len(s) + 1), rng.choice(letters))
+                    del s[rng.randrange(len(s))]
+                side.append("".join(s))
+            sides.append(side)
+        with pytest.MonkeyPatch.context() as m:
+            for name, value in (("TILE", rng.choice([1, 50, 1 << 18])), ("CHUNK", rng.choice([3, 4096])), ("CLASSES", rng.choice([1, 3, 32])), ("LETTERS", rng.choice([1, 1 << 20]))):
+                m.setattr(similarity, name, value)
+            for one, two in ((sides[0], None), sides):
+                i, j, ratio = similarity.similar_in_blocks(one, two, 88.0)
+                want = {(a, b): similarity.title_ratio(x, y) for a, x in enumerate(one) for b, y in enumerate(two or one) if two or a < b}
+                assert len(i) and sorted(zip(i, j, ratio)) == sorted((a, b, v) for (a, b), v in want.items() if v >= 88.0)
+
+
+def test_many_long_titles_of_one_small_vocabulary(spark):
+    """Titles that share nearly all of their short runs of letters: before, pairs of equal runs did not end in minutes."""
+    rng = random.Random(13)
+    syllables = ["".join(rng.choices("etaonihsr ", k=3)) for _ in range(40)]
+    titles = ["".join(rng.choices(syllables, k=55)) for _ in range(6000)]
+    titles += [t[:40] + "x" + t[45:] for t in titles[:50]]
+    began = time.time()
+    got = {(r.a, r.b) for r in similarity.similar_titles(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()}
+    assert got == {(i, 6000 + i) for i in range(50)} and time.time() - began < 60
+
+
 def test_leaders_equal_the_loop(spark):
     rng = random.Random(3)
     n = 60
