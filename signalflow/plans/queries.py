@@ -11,7 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import analysis, evidence, intervals, prefilter, similarity, terms
 from ..operators.snapshots import KeyedTable, keep_stored
-from ..operators.tables import new_folder
+from ..operators.tables import new_folder, saved
 from ..sources import adapters as A
 from ..sources import config as C
 from ..sources import pages as P
@@ -134,7 +134,9 @@ def similar_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def event_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all new URLs, against every tenth title as an event stored before."""
-    c = _candidates(spark, sf_dir)
+    # Texts are worked out once; of summaries it only counts whether they are long enough to tell.
+    c = _candidates(spark, sf_dir).withColumn("summary", F.substring("summary", 1, evidence.MIN_CONTENT))
+    c = saved(c.select("ordinal", "canonical_url", "content_hash", "normalized_title", "title", "summary", "exact_model_id"), "event-candidates")
     new = evidence.already_seen(c, c.limit(0).select(F.col("ordinal").alias("article_id"), "canonical_url")).where("seen_article is null")
     old = c.where("ordinal % 10 = 0").groupBy("normalized_title").agg(F.min("ordinal").alias("n"), F.min_by("title", "ordinal").alias("title"), F.collect_set("content_hash").alias("content_hashes"))
     stored = old.select(

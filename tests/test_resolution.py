@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from signalflow.functions import text as T
 from signalflow.operators import evidence, prefilter, similarity
+from signalflow.plans import queries
 from signalflow.sources import adapters as A
 from signalflow.sources import config as C
 
@@ -132,6 +133,12 @@ def test_events_by_content_model_and_title(spark):
     assert again[7] == 7
 
 
+def test_events_of_the_given_tables_read_their_texts_once(spark, sf_dir):
+    """What follows works on saved rows, so no plan has the expressions over whole texts again."""
+    found = queries.event_leaders(spark, sf_dir)
+    assert found.count() and not any("documents" in f for f in found.inputFiles())
+
+
 def test_seen_before(spark):
     c = frame(spark, [(0, "a", "", "http://h/x?utm_source=1", None), (1, "b", "", "http://H/x/", None), (2, "c", "", "http://h/y", None)])
     stored = spark.createDataFrame([(-1, "http://h/y")], "article_id long, canonical_url string")
