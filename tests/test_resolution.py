@@ -89,7 +89,7 @@ def test_blocks_of_titles_equal_all_pairs():
 
 
 def test_many_long_titles_of_one_small_vocabulary(spark):
-    """Titles that share nearly all of their short runs of letters: before, pairs of equal runs did not end in minutes."""
+    """Titles that share nearly all of their short runs of letters."""
     rng = random.Random(13)
     syllables = ["".join(rng.choices("etaonihsr ", k=3)) for _ in range(40)]
     titles = ["".join(rng.choices(syllables, k=55)) for _ in range(6000)]
